@@ -1,6 +1,6 @@
 """All registered queries. Importing the modules registers them."""
 
-from daywatch.plans.catalog import channel_queries  # noqa: F401
+from daywatch.plans.catalog import channel_queries, layer_queries  # noqa: F401
 from daywatch.plans.catalog.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

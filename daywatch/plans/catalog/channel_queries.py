@@ -73,7 +73,7 @@ def daily_sql(channel: str, keys: str = '"user", pc, day', gap: int = 30, schedu
     parts = [
         f"(SELECT {keys}, {', '.join(cols)} FROM {channel}_log{join} GROUP BY {keys})",
         f"(SELECT {keys}, -sum(c / total * ln(c / total + 1e-10)) AS {channel}_hourly_entropy{peak} FROM ("
-        f"SELECT {keys}, hour, CAST(count(*) AS DOUBLE) AS c0, count(*) AS c, sum(count(*)) OVER (PARTITION BY {keys}) AS total "
+        f"SELECT {keys}, hour, count(*) AS c, sum(count(*)) OVER (PARTITION BY {keys}) AS total "
         f"FROM {channel}_log GROUP BY {keys}, hour) GROUP BY {keys})",
     ]
     if spec.run:
@@ -99,7 +99,7 @@ def feature_names(channel: str) -> list[str]:
 
 
 def rounded_sql(keys: str, names: list[str], body: str) -> str:
-    cols = [f"round({n}, 6) AS {n}" if n.endswith(("_entropy", "_minutes")) else n for n in names]
+    cols = [f"round({n}, 6) + 0.0 AS {n}" if n.endswith(("_entropy", "_minutes")) else n for n in names]
     return with_views(f"SELECT {keys}, {', '.join(cols)} FROM ({body})")
 
 
@@ -212,7 +212,7 @@ for _name in ch.CHANNELS:
 @query(
     "hourly_entropy_peak",
     with_views(
-        """SELECT "user", day, round(-sum(c / total * ln(c / total + 1e-10)), 6) AS entropy, max(c) AS peak_hour_count FROM (
+        """SELECT "user", day, round(-sum(c / total * ln(c / total + 1e-10)), 6) + 0.0 AS entropy, max(c) AS peak_hour_count FROM (
   SELECT "user", day, hour, count(*) AS c, sum(count(*)) OVER (PARTITION BY "user", day) AS total FROM ev GROUP BY "user", day, hour)
 GROUP BY "user", day"""
     ),
