@@ -7,9 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daywatch import fixed
+from daywatch.operators.profiles import with_profiles
+
 # A sum of squares this close to its mean part is rounding noise of a constant series.
 RELATIVE_NOISE = 1e-12
 CLIP = 10.0
+STATISTICS = ["_7d_sum", "_30d_sum", "_1d_over_30d_ratio", "_zscore", "_zscore_90d", "_rolling_delta"]
 
 
 @dataclass(frozen=True)
@@ -38,95 +42,136 @@ def _z_score(x: Column, n: Column, total: Column, squares: Column, minimum: int)
     return F.coalesce(_clip((x - total / n) / deviation, -CLIP, CLIP), F.lit(0.0))
 
 
-def user_baselines(
+def with_statistics(
     df: DataFrame, features: list[str], windows: BaselineWindows = BaselineWindows()
 ) -> DataFrame:
-    """Adds the causal statistics of every feature and the history gate.
-
-    New columns per feature: ``_7d_sum``, ``_30d_sum``, ``_1d_over_30d_ratio``,
-    ``_zscore``, ``_zscore_90d``, ``_rolling_delta``; and ``baseline_complete``.
+    """Adds ``_stats``, one struct of causal statistics per feature in order, and ``baseline_complete``.
 
     Every trailing window is a difference of two running totals, so a row costs the
     same whatever the window length: one window for running sums, one for looking
     them up at fixed distances, both on the same sort by (user, day). A user has
     one row per day, which bounds each window partition by the calendar. Totals of
-    whole numbers are exact in doubles.
+    whole numbers are exact in doubles. The statistics stay in one array expression,
+    so the plan is small whatever the feature count.
     """
     order = Window.partitionBy("user").orderBy("day")
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    value = {f: F.col(f).cast("double") for f in features}
+    running = "OVER (PARTITION BY `user` ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    value = [f"CAST(`{f}` AS DOUBLE)" for f in features]
     totals = df.select(
         "*",
-        F.row_number().over(order).alias("_row"),
-        F.array(*[F.sum(value[f]).over(running) for f in features]).alias("_s"),
-        F.array(*[F.sum(value[f] * value[f]).over(running) for f in features]).alias("_q"),
+        (F.row_number().over(order) - 1).alias("_prior"),
+        F.expr(f"array({', '.join(value)})").alias("_x"),
+        F.expr(f"array({', '.join(f'sum({x}) {running}' for x in value)})").alias("_s"),
+        F.expr(f"array({', '.join(f'sum({x} * {x}) {running}' for x in value)})").alias("_q"),
     )
 
-    depths = sorted({windows.delta, windows.z, windows.z_long, windows.short_sum, windows.long_sum})
-    zeros = F.array(*[F.lit(0.0)] * len(features))
-
-    def back(name: str, rows: int) -> Column:
-        return F.coalesce(F.lag(name, rows).over(order), zeros)
+    def upto(name: str, rows_ago: int, alias: str) -> Column:
+        """The running totals as they stood ``rows_ago`` rows earlier."""
+        zeros = F.array_repeat(F.lit(0.0), len(features))
+        return F.coalesce(F.lag(name, rows_ago).over(order), zeros).alias(alias)
 
+    sum_depths = sorted({windows.delta, windows.z, windows.z_long, windows.short_sum, windows.long_sum})
+    square_depths = sorted({windows.z, windows.z_long})
     looked_up = totals.select(
         *df.columns,
-        F.col("_row"),
-        back("_s", 1).alias("_s0"),
-        back("_q", 1).alias("_q0"),
-        *[back("_s", d + 1).alias(f"_s{d}") for d in depths],
-        *[back("_q", d + 1).alias(f"_q{d}") for d in sorted({windows.z, windows.z_long})],
+        "_prior",
+        "_x",
+        upto("_s", 1, "_s0"),
+        upto("_q", 1, "_q0"),
+        *[upto("_s", d + 1, f"_s{d}") for d in sum_depths],
+        *[upto("_q", d + 1, f"_q{d}") for d in square_depths],
     )
-    prior = F.col("_row") - 1
-
-    def total(i: int, depth: int, name: str = "_s") -> Column:
-        return F.col(f"{name}0")[i] - F.col(f"{name}{depth}")[i]
-
-    def count(depth: int) -> Column:
-        return F.least(prior, F.lit(depth)).cast("double")
-
-    def z(i: int, f: str, depth: int, minimum: int) -> Column:
-        n = F.when(prior > 0, count(depth))
-        return _z_score(value[f], n, total(i, depth), total(i, depth, "_q"), minimum)
-
-    added: list[Column] = []
-    for i, f in enumerate(features):
-        has_past = prior > 0
-        long_sum = F.when(has_past, total(i, windows.long_sum))
-        added += [
-            F.when(has_past, total(i, windows.short_sum)).alias(f"{f}_7d_sum"),
-            long_sum.alias(f"{f}_30d_sum"),
-            _clip(value[f] / (long_sum / windows.long_sum + 0.5), 0.0, 50.0).alias(f"{f}_1d_over_30d_ratio"),
-            z(i, f, windows.z, windows.z_min).alias(f"{f}_zscore"),
-            z(i, f, windows.z_long, windows.z_long_min).alias(f"{f}_zscore_90d"),
-            F.coalesce(
-                value[f] - total(i, windows.delta) / F.when(has_past, count(windows.delta)), F.lit(0.0)
-            ).alias(f"{f}_rolling_delta"),
-        ]
-    return looked_up.select(*df.columns, *added, (prior >= windows.z_min).alias("baseline_complete"))
+    arrays = ["_x", "_s0", "_q0", *[f"_s{d}" for d in sum_depths], *[f"_q{d}" for d in square_depths]]
+    prior = F.col("_prior")
 
+    def statistics(e: Column) -> Column:
+        x = e["_x"]
 
-def peer_zscores(
-    df: DataFrame, features: list[str], peers: DataFrame, peer_col: str = "role"
+        def rows(depth: int) -> Column:
+            return F.when(prior > 0, F.least(prior, F.lit(depth)).cast("double"))
+
+        def trailing(depth: int, name: str = "s") -> Column:
+            return F.when(prior > 0, e[f"_{name}0"] - e[f"_{name}{depth}"])
+
+        def z(depth: int, minimum: int) -> Column:
+            return _z_score(x, rows(depth), trailing(depth), trailing(depth, "q"), minimum)
+
+        long_sum = trailing(windows.long_sum)
+        return F.struct(
+            trailing(windows.short_sum).alias("_7d_sum"),
+            long_sum.alias("_30d_sum"),
+            _clip(x / (long_sum / windows.long_sum + 0.5), 0.0, 50.0).alias("_1d_over_30d_ratio"),
+            z(windows.z, windows.z_min).alias("_zscore"),
+            z(windows.z_long, windows.z_long_min).alias("_zscore_90d"),
+            F.coalesce(x - trailing(windows.delta) / rows(windows.delta), F.lit(0.0)).alias("_rolling_delta"),
+        )
+
+    return looked_up.select(
+        *df.columns,
+        F.transform(F.arrays_zip(*arrays), statistics).alias("_stats"),
+        (prior >= windows.z_min).alias("baseline_complete"),
+    )
+
+
+def statistic_columns(features: list[str]) -> list[str]:
+    """SQL expressions that spread ``_stats`` into named columns."""
+    return [f"_stats[{i}].{s} AS `{f}{s}`" for i, f in enumerate(features) for s in STATISTICS]
+
+
+def user_baselines(
+    df: DataFrame, features: list[str], windows: BaselineWindows = BaselineWindows()
+) -> DataFrame:
+    """Adds per feature ``_7d_sum``, ``_30d_sum``, ``_1d_over_30d_ratio``, ``_zscore``,
+    ``_zscore_90d`` and ``_rolling_delta``, and the history gate ``baseline_complete``."""
+    kept = [f"`{c}`" for c in df.columns]
+    return with_statistics(df, features, windows).selectExpr(
+        *kept, *statistic_columns(features), "baseline_complete"
+    )
+
+
+def with_peer_scores(
+    df: DataFrame,
+    features: list[str],
+    peers: DataFrame,
+    peer_col: str = "role",
+    user_profiles: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds ``<feature>_peer_zscore``: each user against the other members of the peer group that day.
+    """Adds ``_peer_z``: per feature the z-score against the other members of the peer group that day.
 
     ``peers`` has one row per user with ``peer_col``; other users form the group
     "Unknown". Group sums come from a partial aggregation and are joined back, so
-    a dominant peer group is never gathered into one task.
+    a dominant peer group is never gathered into one task. Profile columns can be
+    joined in the same step.
     """
     group = peers.select("user", F.col(peer_col).alias("_peer"))
     member = df.join(group, "user", "left").withColumn("_peer", F.coalesce("_peer", F.lit("Unknown")))
-    value = {f: F.col(f).cast("double") for f in features}
+    value = [f"CAST(`{f}` AS DOUBLE)" for f in features]
     sums = member.groupBy("_peer", "day").agg(
-        F.array(*[F.count(f).cast("double") for f in features]).alias("_n"),
-        F.array(*[F.coalesce(F.sum(value[f]), F.lit(0.0)) for f in features]).alias("_s"),
-        F.array(*[F.coalesce(F.sum(value[f] * value[f]), F.lit(0.0)) for f in features]).alias("_q"),
+        F.expr(f"array({', '.join(f'CAST(count({x}) AS DOUBLE)' for x in value)})").alias("_n"),
+        F.expr(f"array({', '.join(f'coalesce(sum({x}), 0D)' for x in value)})").alias("_s"),
+        F.expr(f"array({', '.join(f'coalesce(sum({x} * {x}), 0D)' for x in value)})").alias("_q"),
+    )
+
+    def against_others(e: Column) -> Column:
+        own = F.coalesce(e["_x"], F.lit(0.0))
+        return _z_score(e["_x"], e["_n"] - 1, e["_s"] - own, e["_q"] - own * own, 2)
+
+    added: list[str] = []
+    if user_profiles is not None:
+        member, added = with_profiles(member, user_profiles), fixed.PROFILE_COLUMNS
+    joined = member.join(sums, ["_peer", "day"]).withColumn("_x", F.expr(f"array({', '.join(value)})"))
+    return joined.select(
+        *df.columns, *added, F.transform(F.arrays_zip("_x", "_n", "_s", "_q"), against_others).alias("_peer_z")
     )
-    joined = member.join(sums, ["_peer", "day"])
-    added = []
-    for i, f in enumerate(features):
-        own = F.coalesce(value[f], F.lit(0.0))
-        others = F.col("_n")[i] - 1
-        z = _z_score(value[f], others, F.col("_s")[i] - own, F.col("_q")[i] - own * own, 2)
-        added.append(z.alias(f"{f}_peer_zscore"))
-    return joined.select(*df.columns, *added)
+
+
+def peer_columns(features: list[str]) -> list[str]:
+    return [f"_peer_z[{i}] AS `{f}_peer_zscore`" for i, f in enumerate(features)]
+
+
+def peer_zscores(
+    df: DataFrame, features: list[str], peers: DataFrame, peer_col: str = "role"
+) -> DataFrame:
+    """Adds ``<feature>_peer_zscore`` columns."""
+    kept = [f"`{c}`" for c in df.columns]
+    return with_peer_scores(df, features, peers, peer_col).selectExpr(*kept, *peer_columns(features))

@@ -10,27 +10,25 @@ from pyspark.sql import functions as F
 from daywatch import fixed
 from daywatch.functions.cleaning import require_columns
 from daywatch.operators import channels as ch
-from daywatch.operators.machines import machine_history
 
 
-def machine_days(
+def aligned_channels(
     logs: Mapping[str, DataFrame],
     schedules: DataFrame | None = None,
     default_hours: tuple[int, int] = fixed.WORK_HOURS,
-    min_history: int = 10,
     truncate: bool = True,
     internal_domain: str = fixed.INTERNAL_EMAIL_DOMAIN,
 ) -> DataFrame:
-    """One row per (user, pc, day): all channel features plus machine history.
+    """One row per (user, pc, day) with the features of all channels.
 
     ``truncate`` keeps the published behaviour of storing entropies and run
     minutes as whole numbers.
     """
     daily = ch.channel_daily(logs, schedules=schedules, default_hours=default_hours, internal_domain=internal_domain)
+    if not truncate:
+        return daily
     features = [c for c in daily.columns if c not in ch.KEYS]
-    if truncate:
-        daily = daily.select(*ch.KEYS, *[F.col(c).cast("int").alias(c) for c in features])
-    return machine_history(daily, min_history)
+    return daily.select(*ch.KEYS, *[F.col(c).cast("int").alias(c) for c in features])
 
 
 def collapse_to_user_days(machine_day: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
@@ -73,16 +71,16 @@ def base_features(df: DataFrame) -> list[str]:
     return [name for name in fixed.BASE_FEATURES if name in df.columns]
 
 
-def cross_channel_flags(df: DataFrame) -> DataFrame:
-    """Seven 0/1 columns that combine channels; an absent input reads 0."""
+def flag_rules(columns: list[str]) -> dict[str, Column]:
+    """Seven 0/1 expressions that combine channels; an absent input reads 0."""
 
     def active(name: str) -> Column:
-        return F.col(name) > 0 if name in df.columns else F.lit(False)
+        return F.col(name) > 0 if name in columns else F.lit(False)
 
-    off_hours = [n for n in df.columns if n in fixed.BASE_FEATURES and n.startswith("off_hours")]
     any_off_hours = F.lit(False)
-    for name in off_hours:
-        any_off_hours = any_off_hours | active(name)
+    for name in columns:
+        if name in fixed.BASE_FEATURES and name.startswith("off_hours"):
+            any_off_hours = any_off_hours | active(name)
     rules = {
         "off_hours_activity_flag": any_off_hours,
         "usb_file_activity_flag": active("usb_insert_count") & active("file_write_count"),
@@ -94,7 +92,11 @@ def cross_channel_flags(df: DataFrame) -> DataFrame:
         | active("non_primary_pc_usb_flag")
         | active("non_primary_pc_file_copy_flag"),
     }
-    return df.withColumns({name: F.coalesce(rule, F.lit(False)).cast("int") for name, rule in rules.items()})
+    return {name: F.coalesce(rule, F.lit(False)).cast("int") for name, rule in rules.items()}
+
+
+def cross_channel_flags(df: DataFrame) -> DataFrame:
+    return df.withColumns(flag_rules(df.columns))
 
 
 def peer_baselines(df: DataFrame, features: list[str], by: str = "department") -> DataFrame:

@@ -6,11 +6,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from daywatch import fixed
 from daywatch.operators import baselines as bl
 from daywatch.operators import channels as ch
 from daywatch.operators import layers, profiles, splits
+from daywatch.operators.machines import machine_history
 from daywatch.sources import sinks
 
 
@@ -33,13 +35,21 @@ def schedules_of(logs: Mapping[str, DataFrame], settings: BuildSettings) -> Data
 
 
 def machine_day_table(
-    logs: Mapping[str, DataFrame], settings: BuildSettings = BuildSettings(), schedules: DataFrame | None = None
+    spark: SparkSession,
+    logs: Mapping[str, DataFrame],
+    settings: BuildSettings = BuildSettings(),
+    schedules: DataFrame | None = None,
 ) -> DataFrame:
-    """(user, pc, day) features from normalised logs."""
+    """(user, pc, day) features from normalised logs.
+
+    The aligned channel features are stored first: the machine history reads them
+    three times, each time only the key columns, and must not rescan the logs.
+    """
     schedules = schedules if schedules is not None else schedules_of(logs, settings)
-    return layers.machine_days(
-        logs, schedules, settings.default_hours, settings.machine_min_history, settings.truncate, settings.internal_domain
+    daily = layers.aligned_channels(
+        logs, schedules, settings.default_hours, settings.truncate, settings.internal_domain
     )
+    return machine_history(sinks.stored(spark, daily, "aligned"), settings.machine_min_history)
 
 
 def item_table(logs: Mapping[str, DataFrame], settings: BuildSettings = BuildSettings()) -> DataFrame:
@@ -48,22 +58,34 @@ def item_table(logs: Mapping[str, DataFrame], settings: BuildSettings = BuildSet
     return ch.distinct_items(ch.tagged_events(with_items, settings.internal_domain))
 
 
-def user_day_table(
-    machine_day: DataFrame,
-    items: DataFrame | None,
-    directory: DataFrame | None = None,
-    settings: BuildSettings = BuildSettings(),
-) -> DataFrame:
-    """(user, day) features: collapse, baselines, flags, peer comparison, profiles."""
+def collapsed_user_days(machine_day: DataFrame, items: DataFrame | None) -> DataFrame:
     distinct = ch.distinct_counts(items, ["user", "day"]) if items is not None else None
-    table = layers.collapse_to_user_days(machine_day, distinct)
-    features = layers.base_features(table)
-    table = layers.cross_channel_flags(bl.user_baselines(table, features, settings.windows))
-    if directory is None:
-        return table
-    peers = profiles.peer_assignment(directory, settings.peer_col)
-    table = bl.peer_zscores(table, features, peers, settings.peer_col)
-    return profiles.with_profiles(table, profiles.latest_profiles(directory))
+    return layers.collapse_to_user_days(machine_day, distinct)
+
+
+def enriched_user_days(
+    collapsed: DataFrame, directory: DataFrame | None = None, settings: BuildSettings = BuildSettings()
+) -> DataFrame:
+    """The collapsed table with baselines, flags, peer comparison and profiles.
+
+    Joins come first, on the plain table; windows, statistics and the one wide
+    projection that names all columns come on top of them.
+    """
+    features = layers.base_features(collapsed)
+    kept = [f"`{c}`" for c in collapsed.columns]
+    named, extra = [], []
+    table = collapsed
+    if directory is not None:
+        peers = profiles.peer_assignment(directory, settings.peer_col)
+        table = bl.with_peer_scores(collapsed, features, peers, settings.peer_col, profiles.latest_profiles(directory))
+        named, extra = bl.peer_columns(features), fixed.PROFILE_COLUMNS
+    table = bl.with_statistics(table, features, settings.windows)
+    flags = layers.flag_rules(collapsed.columns)
+    return table.select(
+        *[F.expr(e) for e in [*kept, *bl.statistic_columns(features), *named, "baseline_complete"]],
+        *[rule.alias(name) for name, rule in flags.items()],
+        *extra,
+    )
 
 
 def build_tables(
@@ -90,10 +112,11 @@ def build_tables(
     if schedules is not None:
         sinks.write_table(schedules, paths["schedules"])
         schedules = spark.read.parquet(paths["schedules"])
-    sinks.write_table(machine_day_table(logs, settings, schedules), paths["machine_days"])
+    sinks.write_table(machine_day_table(spark, logs, settings, schedules), paths["machine_days"])
     sinks.save_items(item_table(logs, settings), paths["items"])
     machine_day, items = spark.read.parquet(paths["machine_days"]), sinks.load_items(spark, paths["items"])
-    sinks.write_table(user_day_table(machine_day, items, directory, settings), paths["user_days"])
+    collapsed = sinks.stored(spark, collapsed_user_days(machine_day, items), "collapsed")
+    sinks.write_table(enriched_user_days(collapsed, directory, settings), paths["user_days"])
     user_day = spark.read.parquet(paths["user_days"])
     parts = splits.train_calibration_test(user_day, windows)
     for name in ("train", "calibration", "calibration_clean", "test_stream"):

@@ -17,8 +17,8 @@ SCHEDULE_DAYS = 3
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(
-        *[F.round(F.col(f"`{c}`"), places).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in df.dtypes]
+    return df.selectExpr(
+        *[f"round(`{c}`, {places}) AS `{c}`" if kind in ("double", "float") else f"`{c}`" for c, kind in df.dtypes]
     )
 
 

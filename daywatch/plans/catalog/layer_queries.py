@@ -19,6 +19,7 @@ from daywatch.plans.catalog.channel_queries import (
 from daywatch.plans.catalog.registry import query
 from daywatch.plans.catalog.sql_views import view, with_views
 from daywatch.sources import sample_views as sv
+from daywatch.sources import sinks
 
 # Shorter windows than the defaults, so that 30 days of sample data exercise them.
 WINDOWS = bl.BaselineWindows(delta=5, z=14, z_min=7, z_long=20, z_long_min=10, short_sum=7, long_sum=10)
@@ -153,13 +154,13 @@ FLAG_SQL = {
 
 
 def machine_days_of(spark, sf_dir):
-    return build.machine_day_table(sv.activity_logs(spark, sf_dir), SETTINGS)
+    return build.machine_day_table(spark, sv.activity_logs(spark, sf_dir), SETTINGS)
 
 
 def collapsed_of(spark, sf_dir):
     logs = sv.activity_logs(spark, sf_dir)
     distinct = ch.distinct_counts(build.item_table(logs, SETTINGS), ["user", "day"])
-    return layers.collapse_to_user_days(build.machine_day_table(logs, SETTINGS), distinct)
+    return layers.collapse_to_user_days(build.machine_day_table(spark, logs, SETTINGS), distinct)
 
 
 # --- machines and layers ------------------------------------------------------------
@@ -309,11 +310,9 @@ FROM peered LEFT JOIN weighted_profile USING ("user")"""
 )
 def user_day_table(spark, sf_dir):
     """The whole 414-column user-day table from raw logs."""
-    logs = sv.activity_logs(spark, sf_dir)
     directory = profiles.clean_directory(sv.directory(spark, sf_dir))
-    table = build.user_day_table(
-        build.machine_day_table(logs, SETTINGS), build.item_table(logs, SETTINGS), directory, SETTINGS
-    )
+    collapsed = sinks.stored(spark, collapsed_of(spark, sf_dir), "collapsed")
+    table = build.enriched_user_days(collapsed, directory, SETTINGS)
     return rounded(table)
 
 

@@ -21,6 +21,8 @@ def get_session(app: str = "daywatch", master: str | None = None, **conf: str) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Recording the Python call site of every column expression slows wide plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.pythonUDF.arrow.enabled", "true")
     )
     if master:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daywatch import fixed
+from daywatch.session import scratch_path
 
 
 def nested_as_json(df: DataFrame) -> DataFrame:
@@ -36,6 +37,13 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, **options: str
     return path
 
 
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back, which also ends its lineage."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def save_items(items: DataFrame, path: str) -> str:
     """Store the distinct-item rows, one folder per channel, as the restart point of the collapse."""
     items.write.mode("overwrite").partitionBy("channel").parquet(path)
