@@ -1,6 +1,11 @@
 """All registered queries. Importing the modules registers them."""
 
-from daywatch.plans.catalog import channel_queries, layer_queries, risk_queries  # noqa: F401
+from daywatch.plans.catalog import (  # noqa: F401
+    channel_queries,
+    layer_queries,
+    risk_queries,
+    serving_queries,
+)
 from daywatch.plans.catalog.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
