@@ -3,6 +3,7 @@
 from daywatch.plans.catalog import (  # noqa: F401
     channel_queries,
     layer_queries,
+    model_queries,
     risk_queries,
     serving_queries,
 )
