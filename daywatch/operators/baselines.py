@@ -13,7 +13,6 @@ from daywatch.operators.profiles import with_profiles
 # A sum of squares this close to its mean part is rounding noise of a constant series.
 RELATIVE_NOISE = 1e-12
 CLIP = 10.0
-STATISTICS = ["_7d_sum", "_30d_sum", "_1d_over_30d_ratio", "_zscore", "_zscore_90d", "_rolling_delta"]
 
 
 @dataclass(frozen=True)
@@ -29,30 +28,16 @@ class BaselineWindows:
     long_sum: int = 30
 
 
-def _clip(value: Column, low: float, high: float) -> Column:
-    """Null stays null (greatest and least alone would skip it)."""
-    return F.when(value > high, high).when(value < low, low).otherwise(value)
-
-
-def _z_score(x: Column, n: Column, total: Column, squares: Column, minimum: int) -> Column:
-    """(x - mean) / sample deviation of n earlier values given their sum and sum of squares; else 0."""
-    spread = n * squares - total * total
-    usable = (n >= max(minimum, 2)) & (spread > n * squares * RELATIVE_NOISE)
-    deviation = F.sqrt(F.when(usable, spread / (n * (n - 1))))
-    return F.coalesce(_clip((x - total / n) / deviation, -CLIP, CLIP), F.lit(0.0))
-
-
-def with_statistics(
+def with_totals(
     df: DataFrame, features: list[str], windows: BaselineWindows = BaselineWindows()
 ) -> DataFrame:
-    """Adds ``_stats``, one struct of causal statistics per feature in order, and ``baseline_complete``.
+    """Adds what the causal statistics are computed from, as arrays with one element per feature.
 
     Every trailing window is a difference of two running totals, so a row costs the
     same whatever the window length: one window for running sums, one for looking
     them up at fixed distances, both on the same sort by (user, day). A user has
     one row per day, which bounds each window partition by the calendar. Totals of
-    whole numbers are exact in doubles. The statistics stay in one array expression,
-    so the plan is small whatever the feature count.
+    whole numbers are exact in doubles.
     """
     order = Window.partitionBy("user").orderBy("day")
     running = "OVER (PARTITION BY `user` ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -60,7 +45,6 @@ def with_statistics(
     totals = df.select(
         "*",
         (F.row_number().over(order) - 1).alias("_prior"),
-        F.expr(f"array({', '.join(value)})").alias("_x"),
         F.expr(f"array({', '.join(f'sum({x}) {running}' for x in value)})").alias("_s"),
         F.expr(f"array({', '.join(f'sum({x} * {x}) {running}' for x in value)})").alias("_q"),
     )
@@ -72,50 +56,48 @@ def with_statistics(
 
     sum_depths = sorted({windows.delta, windows.z, windows.z_long, windows.short_sum, windows.long_sum})
     square_depths = sorted({windows.z, windows.z_long})
-    looked_up = totals.select(
+    return totals.select(
         *df.columns,
         "_prior",
-        "_x",
         upto("_s", 1, "_s0"),
         upto("_q", 1, "_q0"),
         *[upto("_s", d + 1, f"_s{d}") for d in sum_depths],
         *[upto("_q", d + 1, f"_q{d}") for d in square_depths],
     )
-    arrays = ["_x", "_s0", "_q0", *[f"_s{d}" for d in sum_depths], *[f"_q{d}" for d in square_depths]]
-    prior = F.col("_prior")
-
-    def statistics(e: Column) -> Column:
-        x = e["_x"]
 
-        def rows(depth: int) -> Column:
-            return F.when(prior > 0, F.least(prior, F.lit(depth)).cast("double"))
 
-        def trailing(depth: int, name: str = "s") -> Column:
-            return F.when(prior > 0, e[f"_{name}0"] - e[f"_{name}{depth}"])
+def statistic_columns(features: list[str], windows: BaselineWindows = BaselineWindows()) -> list[str]:
+    """SQL expressions for the statistics of every feature and the gate, on the output of ``with_totals``."""
 
-        def z(depth: int, minimum: int) -> Column:
-            return _z_score(x, rows(depth), trailing(depth), trailing(depth, "q"), minimum)
+    def rows(depth: int) -> str:
+        return f"CAST(least(_prior, {depth}) AS DOUBLE)"
 
-        long_sum = trailing(windows.long_sum)
-        return F.struct(
-            trailing(windows.short_sum).alias("_7d_sum"),
-            long_sum.alias("_30d_sum"),
-            _clip(x / (long_sum / windows.long_sum + 0.5), 0.0, 50.0).alias("_1d_over_30d_ratio"),
-            z(windows.z, windows.z_min).alias("_zscore"),
-            z(windows.z_long, windows.z_long_min).alias("_zscore_90d"),
-            F.coalesce(x - trailing(windows.delta) / rows(windows.delta), F.lit(0.0)).alias("_rolling_delta"),
-        )
+    def z(x: str, i: int, depth: int, minimum: int) -> str:
+        return z_score_sql(x, rows(depth), f"(_s0[{i}] - _s{depth}[{i}])", f"(_q0[{i}] - _q{depth}[{i}])", minimum)
 
-    return looked_up.select(
-        *df.columns,
-        F.transform(F.arrays_zip(*arrays), statistics).alias("_stats"),
-        (prior >= windows.z_min).alias("baseline_complete"),
-    )
+    out = []
+    for i, f in enumerate(features):
+        x = f"CAST(`{f}` AS DOUBLE)"
+        long_sum = f"(_s0[{i}] - _s{windows.long_sum}[{i}])"
+        ratio = f"{x} / ({long_sum} / {windows.long_sum}D + 0.5D)"
+        mean = f"(_s0[{i}] - _s{windows.delta}[{i}]) / {rows(windows.delta)}"
+        out += [
+            f"CASE WHEN _prior > 0 THEN _s0[{i}] - _s{windows.short_sum}[{i}] END AS `{f}_7d_sum`",
+            f"CASE WHEN _prior > 0 THEN {long_sum} END AS `{f}_30d_sum`",
+            f"CASE WHEN _prior > 0 THEN greatest(0D, least(50D, {ratio})) END AS `{f}_1d_over_30d_ratio`",
+            f"{z(x, i, windows.z, windows.z_min)} AS `{f}_zscore`",
+            f"{z(x, i, windows.z_long, windows.z_long_min)} AS `{f}_zscore_90d`",
+            f"CASE WHEN _prior > 0 THEN coalesce({x} - {mean}, 0D) ELSE 0D END AS `{f}_rolling_delta`",
+        ]
+    return [*out, f"_prior >= {windows.z_min} AS baseline_complete"]
 
 
-def statistic_columns(features: list[str]) -> list[str]:
-    """SQL expressions that spread ``_stats`` into named columns."""
-    return [f"_stats[{i}].{s} AS `{f}{s}`" for i, f in enumerate(features) for s in STATISTICS]
+def z_score_sql(x: str, n: str, total: str, squares: str, minimum: int) -> str:
+    """Clipped (x - mean) / sample deviation of n values given their sum and sum of squares; else 0."""
+    spread = f"({n} * {squares} - {total} * {total})"
+    usable = f"{n} >= {max(minimum, 2)} AND {spread} > {n} * {squares} * {RELATIVE_NOISE!r}D"
+    z = f"({x} - {total} / {n}) / sqrt({spread} / ({n} * ({n} - 1)))"
+    return f"CASE WHEN {x} IS NOT NULL AND {usable} THEN greatest(-{CLIP}D, least({CLIP}D, {z})) ELSE 0D END"
 
 
 def user_baselines(
@@ -124,9 +106,7 @@ def user_baselines(
     """Adds per feature ``_7d_sum``, ``_30d_sum``, ``_1d_over_30d_ratio``, ``_zscore``,
     ``_zscore_90d`` and ``_rolling_delta``, and the history gate ``baseline_complete``."""
     kept = [f"`{c}`" for c in df.columns]
-    return with_statistics(df, features, windows).selectExpr(
-        *kept, *statistic_columns(features), "baseline_complete"
-    )
+    return with_totals(df, features, windows).selectExpr(*kept, *statistic_columns(features, windows))
 
 
 def with_peer_scores(
@@ -152,17 +132,16 @@ def with_peer_scores(
         F.expr(f"array({', '.join(f'coalesce(sum({x} * {x}), 0D)' for x in value)})").alias("_q"),
     )
 
-    def against_others(e: Column) -> Column:
-        own = F.coalesce(e["_x"], F.lit(0.0))
-        return _z_score(e["_x"], e["_n"] - 1, e["_s"] - own, e["_q"] - own * own, 2)
-
     added: list[str] = []
     if user_profiles is not None:
         member, added = with_profiles(member, user_profiles), fixed.PROFILE_COLUMNS
-    joined = member.join(sums, ["_peer", "day"]).withColumn("_x", F.expr(f"array({', '.join(value)})"))
-    return joined.select(
-        *df.columns, *added, F.transform(F.arrays_zip("_x", "_n", "_s", "_q"), against_others).alias("_peer_z")
-    )
+    z = []
+    for i, x in enumerate(value):
+        own = f"coalesce({x}, 0D)"
+        others = (f"(_n[{i}] - 1)", f"(_s[{i}] - {own})", f"(_q[{i}] - {own} * {own})")
+        z.append(z_score_sql(x, *others, 2))
+    joined = member.join(sums, ["_peer", "day"])
+    return joined.select(*df.columns, *added, F.expr(f"array({', '.join(z)})").alias("_peer_z"))
 
 
 def peer_columns(features: list[str]) -> list[str]:
