@@ -43,8 +43,8 @@ view(
 STATUS_SQL = "CASE n_file % 4 WHEN 0 THEN 'INVESTIGATING' WHEN 1 THEN 'RESOLVED' WHEN 2 THEN 'DISMISSED' ELSE 'NEW' END"
 view(
     "disposition_log",
-    f"""SELECT "user", day, {STATUS_SQL} AS status, concat('note ', cents % 7) AS note, CAST(day + CAST(cents % 5 AS INT) AS TIMESTAMP) AS "timestamp" FROM scored WHERE cents % 3 = 0
-UNION ALL SELECT "user", day, 'RESOLVED', 'closed', CAST(day + 9 AS TIMESTAMP) FROM scored WHERE cents % 6 = 0""",
+    f"""SELECT "user", day, {STATUS_SQL} AS status, concat('note ', cents % 7) AS note, CAST(day + CAST(cents % 5 AS INT) AS TIMESTAMP) AS "timestamp" FROM scored WHERE if_anomaly_score < 0.33
+UNION ALL SELECT "user", day, 'RESOLVED', 'closed', CAST(day + 9 AS TIMESTAMP) FROM scored WHERE if_anomaly_score < 0.16""",
 )
 view("latest_status", """SELECT "user", day, status, note, "timestamp" FROM (SELECT *, row_number() OVER (PARTITION BY "user", day ORDER BY "timestamp" DESC) AS r FROM disposition_log) WHERE r = 1""")
 
@@ -73,11 +73,11 @@ def peer_base_of(spark, sf_dir):
 
 def disposition_log(spark, sf_dir):
     rows = sv.scored_days(spark, sf_dir)
-    first = rows.where("cents % 3 = 0").select(
+    first = rows.where("if_anomaly_score < 0.33").select(
         "user", "day", F.expr(STATUS_SQL).alias("status"), F.expr("concat('note ', cents % 7)").alias("note"),
         F.expr("CAST(date_add(day, CAST(cents % 5 AS INT)) AS TIMESTAMP_NTZ)").alias("timestamp"),
     )
-    later = rows.where("cents % 6 = 0").select(
+    later = rows.where("if_anomaly_score < 0.16").select(
         "user", "day", F.lit("RESOLVED").alias("status"), F.lit("closed").alias("note"),
         F.expr("CAST(date_add(day, 9) AS TIMESTAMP_NTZ)").alias("timestamp"),
     )
@@ -416,9 +416,9 @@ LIVE_BAND = f"CASE WHEN if_percentile_rank IS NULL THEN 'LOW' ELSE {band_sql('if
 _register(
     "live_table",
     f"""SELECT "user", event_index, {r6('if_percentile_rank')} AS ui_percentile, {r6('if_anomaly_score')} AS ui_anomaly_score, {r6('if_percentile_rank')} AS ui_composite_score, {LIVE_BAND} AS ui_risk_band
-FROM live_records ORDER BY CASE WHEN cert_timestamp <> 'unknown' THEN cert_timestamp END DESC NULLS LAST, event_index DESC LIMIT 200""",
+FROM live_records ORDER BY CASE WHEN cert_timestamp <> 'unknown' THEN cert_timestamp END DESC NULLS LAST, event_index DESC""",
     lambda s, d: rounded(
-        live.live_table(live_records(s, d)).limit(200).select("user", "event_index", "ui_percentile", "ui_anomaly_score", "ui_composite_score", "ui_risk_band")
+        live.live_table(live_records(s, d)).select("user", "event_index", "ui_percentile", "ui_anomaly_score", "ui_composite_score", "ui_risk_band")
     ),
 )
 _register(

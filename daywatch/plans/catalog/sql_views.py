@@ -71,7 +71,7 @@ view(
     WHEN c_custkey % 6 = 1 THEN 'None' ELSE concat(' U', c_custkey % 40, ' ') END AS supervisor,
   CAST(concat(month, '-01') AS DATE) AS snapshot
 FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES ('2024-01'), ('2024-02')) months(month)
-WHERE c_custkey % 10 <> 7 AND (month = '2024-01' OR c_custkey % 4 <> 1)""",
+WHERE c_acctbal >= 0 AND (month = '2024-01' OR c_acctbal >= 2000)""",
 )
 view(
     "directory_clean",
@@ -92,11 +92,8 @@ FROM ev GROUP BY "user", day""",
 )
 view(
     "win",
-    """SELECT concat('u', user_id) AS "user", CAST(first_day + a AS DATE) AS start_day,
-  CAST(first_day + b AS DATE) AS end_day, CAST(user_id % 3 + 1 AS INT) AS scenario
-FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 25 = 3),
-  (SELECT CAST(min(ts) AS DATE) AS first_day FROM events), (VALUES (10, 15), (13, 20)) t(a, b)
-WHERE a = 10 OR user_id % 50 = 3""",
+    """SELECT concat('u', user_id) AS "user", CAST(CAST(ts AS DATE) - 2 AS DATE) AS start_day,
+  CAST(CAST(ts AS DATE) + 3 AS DATE) AS end_day, CAST(hour(ts) % 3 + 1 AS INT) AS scenario FROM events WHERE value >= 280""",
 )
 view(
     "scored",

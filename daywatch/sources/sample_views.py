@@ -97,14 +97,14 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two monthly directory snapshots, as read from the snapshot files."""
+    """Two monthly directory snapshots, as read from the snapshot files; closed accounts are not listed."""
     people = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
-    both = people.where("c_custkey % 10 <> 7").select(
+    both = people.where("c_acctbal >= 0").select(
         "*", F.explode(F.array(F.lit("2024-01"), F.lit("2024-02"))).alias("month")
     )
-    return both.where("month = '2024-01' OR c_custkey % 4 <> 1").selectExpr(
+    return both.where("month = '2024-01' OR c_acctbal >= 2000").selectExpr(
         "concat(' U', c_custkey, ' ') AS user_id",
         "CASE WHEN c_custkey % 17 <> 0 THEN c_name END AS employee_name",
         "CASE WHEN month = '2024-02' AND c_custkey % 9 = 0 THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 'Manager' "
@@ -130,19 +130,13 @@ def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ground-truth windows for every 25th user; every 50th has a second, overlapping one."""
-    events = table(spark, sf_dir, "events")
-    first = events.agg(F.to_date(F.min("ts"))).scalar()
-    users = events.where("user_id % 25 = 3").select("user_id").distinct().withColumn("first_day", first)
-    windows = F.when(
-        F.col("user_id") % 50 == 3,
-        F.array(F.struct(F.lit(10).alias("a"), F.lit(15).alias("b")), F.struct(F.lit(13).alias("a"), F.lit(20).alias("b"))),
-    ).otherwise(F.array(F.struct(F.lit(10).alias("a"), F.lit(15).alias("b"))))
-    return users.select("user_id", "first_day", F.explode(windows).alias("w")).selectExpr(
+    """Ground truth: from two days before to three days after every very large event value; windows may overlap."""
+    events = table(spark, sf_dir, "events").where("value >= 280")
+    return events.selectExpr(
         "concat('u', user_id) AS user",
-        "date_add(first_day, w.a) AS start_day",
-        "date_add(first_day, w.b) AS end_day",
-        "CAST(user_id % 3 + 1 AS INT) AS scenario",
+        "date_sub(to_date(ts), 2) AS start_day",
+        "date_add(to_date(ts), 3) AS end_day",
+        "hour(ts) % 3 + 1 AS scenario",
     )
 
 
