@@ -122,3 +122,22 @@ def test_merge_and_duplicates(spark):
     rows = {r["user"]: (r["x"], r["y"]) for r in ch.merge_daily([a, b], ["user", "day"]).collect()}
     assert rows == {"u": (2, 0), "v": (0, 4)}
     assert ch.duplicate_keys(a.unionByName(a), ["user", "day"]).count() == 1
+
+
+def test_hot_machine_day_shrinks_to_slots_and_keeps_every_event(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(START + timedelta(seconds=rng.randrange(86400)), "hot", "p", "Connect") for _ in range(2000)]
+    rows += [
+        (START + timedelta(days=rng.randrange(5), seconds=rng.randrange(86400)), f"u{rng.randrange(40)}", "p", "Connect")
+        for _ in range(4000)
+    ]
+    logs = {"device": log(spark, rows, "user string, pc string, activity string")}
+    slots = ch.time_slots(ch.tagged_events(logs))
+    assert slots.where("user = 'hot'").count() <= 48
+    daily = {(r["user"], r["day"]): r for r in ch.channel_daily(logs).collect()}
+    assert sum(r["usb_insert_count"] for r in daily.values()) == 6000
+    hot = [t for t, user, *_ in rows if user == "hot"]
+    assert daily["hot", START.date()]["usb_insert_count"] == 2000
+    assert math.isclose(daily["hot", START.date()]["device_longest_active_run_minutes"], brute_run(hot, 30))
