@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -33,25 +35,55 @@ def get_session(app: str = "daywatch", master: str | None = None, **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
+    """The folder every executor can reach, as a URI or path.
 
-    Where the cluster names none (tests, a laptop) a fresh temporary folder is
-    set for this session instead.
+    The context's checkpoint folder if one is set, else ``spark.checkpoint.dir``. A
+    purely local session without either gets a temporary folder, removed at its end;
+    on a cluster that names none this raises, as a folder of one machine would lose rows.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.conf.get("daywatch.local.checkpoint.dir", None)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             configured = tempfile.mkdtemp(prefix="daywatch-")
-            spark.conf.set("daywatch.local.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        context.setCheckpointDir(configured)
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new, unused path below the shared folder.
+
+    All paths of an application lie in one folder, which ``clear_scratch`` removes and
+    which goes at the latest when the Python process ends.
+    """
+    root = _scratch_root(spark)
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has stored; frames that read it are void from then on."""
+    _remove(spark, _scratch_root(spark))
+
+
+_ROOTS: set[str] = set()
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/daywatch-{spark.sparkContext.applicationId}"
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
