@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daywatch.llm import exact, licenses, packing, quality, simhash, substring, url_filters
+from daywatch.llm import bpe, exact, licenses, packing, quality, simhash, substring, url_filters, warc
 from daywatch.llm import check_sql as sql
+from daywatch.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +35,13 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def rank_file() -> str:
+    """The rank file of the byte-level queries, as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -98,3 +106,26 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut and packed into sequences of 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary(), END_ID)
+
+
+@query("op9_warc_round_trip", sql.WARC)
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back."""
+    manifest = warc.write(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    read = warc.read(manifest, keep_payload=False)
+    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
+    return read.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page("refers_to").alias("refers_to"), "digest_ok",
+    )
+
+
+@query("op10_byte_bpe")
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and what they decode to."""
+    ranks = rank_file()
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks).drop("text")
+    return bpe.decode(coded, ranks).select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

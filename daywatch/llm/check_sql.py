@@ -170,3 +170,14 @@ kept AS (
   FROM toks t LEFT JOIN covered c ON c.doc_id = t.doc_id)
 SELECT doc_id, n_words, n_removed, sha256(kept_text) AS kept_sha256 FROM kept
 """
+
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
+q AS (SELECT *, octet_length(html::BLOB) AS n FROM (SELECT page_id, digest, encode(html) AS html FROM p)),
+f AS (SELECT digest, min(page_id) AS first_id FROM q WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to, true AS digest_ok
+FROM q LEFT JOIN f USING (digest)
+"""

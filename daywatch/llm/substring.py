@@ -222,7 +222,7 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     blocks = chunks
     chunk_col, out_col = free_name(docs, "chunk"), free_name(docs, "parsed")
     placed = docs.withColumn(chunk_col, F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("long"))
-    placed = placed.repartition(width, chunk_col)
+    placed = placed.repartition(chunks, chunk_col)
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         me = table.column(chunk_col)[0].as_py()
