@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daywatch.llm import bpe, exact, licenses, packing, quality, simhash, substring, url_filters, warc
+from daywatch.llm import bpe, exact, licenses, lm, packing, quality, simhash, substring, url_filters, warc
 from daywatch.llm import check_sql as sql
 from daywatch.session import scratch_path
 
@@ -129,3 +129,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op6_lm_score")
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a network trained on all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known, values = lm.train(docs)
+    return lm.score(docs, known, values).drop("text")
