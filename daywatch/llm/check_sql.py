@@ -98,7 +98,7 @@ def quality_verdicts() -> str:
     """Common table expressions from ``counts`` to ``verdicts``."""
     spread = {r: s for r, s in quality.RATES.items()}
     rate_rows = " UNION ALL ".join(
-        f"SELECT lang, source, '{r}' AS rate, {r} AS v, {s} AS least FROM rated" for r, s in spread.items()
+        f"SELECT lang, source, '{r}' AS rate, {r} AS v, {s} AS least FROM rated WHERE NOT base_failed" for r, s in spread.items()
     )
 
     def level(keys: str, name: str) -> str:
@@ -140,8 +140,8 @@ limits AS (
   SELECT g.lang, g.source, {pick}
   FROM g_f g LEFT JOIN l_f l ON l.lang IS NOT DISTINCT FROM g.lang CROSS JOIN a_f a),
 verdicts AS (
-  SELECT r.*, NOT base_failed AND {within} AS kept
-  FROM rated r JOIN limits t ON t.lang IS NOT DISTINCT FROM r.lang AND t.source IS NOT DISTINCT FROM r.source)"""
+  SELECT r.*, NOT base_failed AND coalesce({within}, false) AS kept
+  FROM rated r LEFT JOIN limits t ON t.lang IS NOT DISTINCT FROM r.lang AND t.source IS NOT DISTINCT FROM r.source)"""
 
 
 def quality_rules() -> str:

@@ -160,8 +160,10 @@ LIMITS = [*[f"max_{r}" for r in RATES], "min_word_length"]
 def thresholds(rows: DataFrame) -> DataFrame:
     """``lang, source`` and the limits in force there, from rows with these columns and the rates.
 
-    A group of fewer than ``GROUP_ROWS`` documents takes those of its language, a language of
-    fewer those of the corpus. Null languages and sources are groups like others.
+    The rows are those of documents that pass the base rules. A group of fewer than
+    ``GROUP_ROWS`` documents takes the limits of its
+    language, a language of fewer those of the corpus. Null languages and sources are groups
+    like others.
     """
     groups = stored(sketches(rows, ["lang", "source"]), "sketches")
     langs = merge_sketches(groups, ["lang"])
@@ -202,7 +204,7 @@ def judge(
     )
     rate = rates(c)
     limits = thresholds(
-        counted.select(
+        counted.where(~base_failed).select(
             F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *[rate[r].alias(r) for r in RATES]
         )
     )
@@ -210,14 +212,14 @@ def judge(
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     joined = counted.join(
-        limits, counted[lang_col].eqNullSafe(limits["_l"]) & counted[source_col].eqNullSafe(limits["_s"])
+        limits, counted[lang_col].eqNullSafe(limits["_l"]) & counted[source_col].eqNullSafe(limits["_s"]), "left"
     )
     within = F.lit(True)
     for r in RATES:
         within = within & (rate[r] <= limits["_limits"][f"max_{r}"])
     within = within & (rate["word_length"] >= limits["_limits"]["min_word_length"])
     verdict = F.struct(
-        *[c[k].alias(k) for k in COUNTS], base_failed.alias("base_failed"), (~base_failed & within).alias("kept")
+        *[c[k].alias(k) for k in COUNTS], base_failed.alias("base_failed"), (~base_failed & F.coalesce(within, F.lit(False))).alias("kept")
     )
     return joined.select(*[counted[x] for x in docs.columns], verdict.alias(free_name(docs, "quality")))
 

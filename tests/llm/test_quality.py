@@ -40,12 +40,15 @@ def verdicts(rows):
             (lang, source, symbols * 10_000 // chars if chars else 0, dup * 10_000 // len(lines) if lines else 0,
              repeat * 10_000 // n if n else 0, chars * 100 // n if n else 0, n < 50 or 100 * repeat > 50 * n)
         )
-    out = []
+    out, good = [], [r for r in rated if not r[6]]
     for r in rated:
-        for group in ([x for x in rated if x[:2] == r[:2]], [x for x in rated if x[0] == r[0]], rated):
+        if r[6]:
+            out.append((True, False))
+            continue
+        for group in ([x for x in good if x[:2] == r[:2]], [x for x in good if x[0] == r[0]], good):
             if len(group) >= quality.GROUP_ROWS:
                 break
-        ok = not r[6]
+        ok = True
         for k, least in enumerate(quality.RATES.values(), 2):
             v = sorted(floor7(x[k]) for x in group)
             q1, q2, q3 = (v[-(-len(v) * q // 4) - 1] for q in (1, 2, 3))
