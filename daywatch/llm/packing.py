@@ -37,26 +37,67 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
 class WordEncoder:
-    """Token ids, as little-endian bytes, of texts whose tokenizer splits at white space anyway."""
+    """Token ids, as little-endian bytes, of texts whose tokenizer splits at white space anyway.
+
+    Words are encoded once and kept. A new word of letters, with a full stop or comma after it
+    or not, is looked up by its letters alone; letters that are new too are encoded many in one
+    text and told apart by the tokens that end a word.
+    """
+
+    END = "</w>"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
+        self.marks = {m: self._ids(m.decode()) for m in (b"", b".", b",")}
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         words = [(t or b"").split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
+        new = {w for ws in words for w in ws if w not in self.known}
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
-            new = list({w for ws in words for w in ws})
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for word, e in zip(new, found):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
+            new = {w for ws in words for w in ws}
+        self._learn(new)
         return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
+    def _learn(self, new: set[bytes]) -> None:
+        parts, others = {}, []
+        for word in new:
+            mark = word[-1:] if len(word) > 1 and word[-1] in b".," else b""
+            stem = word[: len(word) - len(mark)]
+            # Lower case and composition of other letters are the tokenizer's.
+            core = stem.lower() if stem.isascii() else stem
+            if core.isalpha() or core.decode().isalpha():
+                parts[word] = core, mark
+            else:
+                others.append(word)
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(others, found))
+        if len(self.letters) > CACHED_WORDS:
+            self.letters.clear()
+        missing = list({core for core, _ in parts.values()} - self.letters.keys())
+        if missing:
+            line = b" ".join(missing).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.nonzero(self.ends[ids])[0] + 1
+            if len(stops) == len(missing):
+                raw, stops = ids.tobytes(), (4 * stops).tolist()
+                self.letters.update((core, raw[a:b]) for core, a, b in zip(missing, [0, *stops], stops))
+            else:  # letters that this vocabulary splits further
+                self.letters.update((core, self._ids(core.decode())) for core in missing)
+        for word, (core, mark) in parts.items():
+            self.known[word] = self.letters[core] + self.marks[mark]
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
