@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daywatch.llm.text import SPACES, free_name
+from daywatch.llm.text import SPACES, free_name, stored
 
 
 def without_spaces(text: Column) -> Column:
@@ -46,27 +46,26 @@ def exact_groups(
 
     groups = rows.groupBy("hash").agg(F.count("*").alias("n"), _best().alias("best"))
 
-    # Bytes are compared inside groups only; where all are equal, as ever, strays is empty.
-    members = texts.join(groups.where("n > 1"), "hash")
-    survivors = (
-        members.where(_is_best()).groupBy("hash").agg(F.min("norm").alias("kept_norm"))
+    # Bytes are compared inside groups only: texts move once, and what has a partner is kept.
+    members = stored(texts.join(groups.where("n > 1"), "hash"), "members")
+    survivors = members.where(_is_best()).groupBy("hash").agg(F.min("norm").alias("kept_norm"))
+    strays = stored(
+        members.join(survivors, "hash").where("norm <> kept_norm").select("doc_id", "chars", "hash", "norm"), "strays"
     )
-    strays = members.join(survivors, "hash").where("norm <> kept_norm")
-    stray_groups = strays.groupBy("hash", "norm").agg(F.count("*").alias("own_n"), _best().alias("own_best"))
-    stray_counts = stray_groups.groupBy("hash").agg(F.sum("own_n").alias("others"))
-    stray_groups = stray_groups.select("hash", F.sha2("norm", 256).alias("text_sha256"), "own_n", "own_best")
-
-    joined = (
-        rows.join(groups, "hash")
-        .join(stray_counts, "hash", "left")
-        .join(stray_groups, ["hash", "text_sha256"], "left")
-    )
-    best = F.coalesce("own_best", "best")
+    joined = rows.join(groups, "hash")
+    best, size = F.col("best"), F.col("n")
+    if not strays.isEmpty():
+        own = strays.groupBy("hash", "norm").agg(F.count("*").alias("own_n"), _best().alias("own_best"))
+        others = own.groupBy("hash").agg(F.sum("own_n").alias("others"))
+        own = own.select("hash", F.sha2("norm", 256).alias("text_sha256"), "own_n", "own_best")
+        joined = joined.join(others, "hash", "left").join(own, ["hash", "text_sha256"], "left")
+        best = F.coalesce("own_best", "best")
+        size = F.coalesce("own_n", F.col("n") - F.coalesce("others", F.lit(0)))
     keep_id = best["doc_id"]
     return joined.select(
         "doc_id",
         keep_id.alias("keep_id"),
-        F.coalesce("own_n", F.col("n") - F.coalesce("others", F.lit(0))).cast("long").alias("group_size"),
+        size.cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
         "text_sha256",
     )
