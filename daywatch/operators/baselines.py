@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from daywatch import fixed
 from daywatch.operators.profiles import with_profiles
 
-# A sum of squares this close to its mean part is rounding noise of a constant series.
-RELATIVE_NOISE = 1e-12
 CLIP = 10.0
+# Doubles: a spread below this share of what it was subtracted from is rounding.
+ROUNDING = 1e-13
 
 
 @dataclass(frozen=True)
@@ -28,76 +28,62 @@ class BaselineWindows:
     long_sum: int = 30
 
 
-def with_totals(
+def with_history(
     df: DataFrame, features: list[str], windows: BaselineWindows = BaselineWindows()
 ) -> DataFrame:
     """Adds what the causal statistics are computed from, as arrays with one element per feature.
 
-    Every trailing window is a difference of two running totals, so a row costs the
-    same whatever the window length: one window for running sums, one for looking
-    them up at fixed distances, both on the same sort by (user, day). A user has
-    one row per day, which bounds each window partition by the calendar. Totals of
-    whole numbers are exact in doubles.
+    Each statistic is aggregated over its own bounded frame of the rows before, all on one
+    sort by (user, day), so a large value counts only as long as it is in the frame and a
+    constant series has a deviation of exactly zero. A user has one row per day, which
+    bounds each window partition by the calendar. Nulls count as absent.
     """
     order = Window.partitionBy("user").orderBy("day")
-    running = "OVER (PARTITION BY `user` ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     value = [f"CAST(`{f}` AS DOUBLE)" for f in features]
-    totals = df.select(
+
+    def past(how: str, depth: int) -> Column:
+        over = f"OVER (PARTITION BY `user` ORDER BY day ROWS BETWEEN {depth} PRECEDING AND 1 PRECEDING)"
+        return F.expr(f"array({', '.join(f'{how}({x}) {over}' for x in value)})")
+
+    return df.select(
         "*",
         (F.row_number().over(order) - 1).alias("_prior"),
-        F.expr(f"array({', '.join(f'sum({x}) {running}' for x in value)})").alias("_s"),
-        F.expr(f"array({', '.join(f'sum({x} * {x}) {running}' for x in value)})").alias("_q"),
-    )
-
-    def upto(name: str, rows_ago: int, alias: str) -> Column:
-        """The running totals as they stood ``rows_ago`` rows earlier."""
-        zeros = F.array_repeat(F.lit(0.0), len(features))
-        return F.coalesce(F.lag(name, rows_ago).over(order), zeros).alias(alias)
-
-    sum_depths = sorted({windows.delta, windows.z, windows.z_long, windows.short_sum, windows.long_sum})
-    square_depths = sorted({windows.z, windows.z_long})
-    return totals.select(
-        *df.columns,
-        "_prior",
-        upto("_s", 1, "_s0"),
-        upto("_q", 1, "_q0"),
-        *[upto("_s", d + 1, f"_s{d}") for d in sum_depths],
-        *[upto("_q", d + 1, f"_q{d}") for d in square_depths],
+        past("avg", windows.delta).alias("_delta_mean"),
+        past("sum", windows.short_sum).alias("_short_sum"),
+        past("sum", windows.long_sum).alias("_long_sum"),
+        *[
+            past(how, depth).alias(f"_{name}_{part}")
+            for name, depth in (("z", windows.z), ("z90", windows.z_long))
+            for part, how in (("n", "count"), ("mean", "avg"), ("sd", "stddev_samp"))
+        ],
     )
 
 
 def statistic_columns(features: list[str], windows: BaselineWindows = BaselineWindows()) -> list[str]:
-    """SQL expressions for the statistics of every feature and the gate, on the output of ``with_totals``."""
+    """SQL expressions for the statistics of every feature and the gate, on the output of ``with_history``."""
 
-    def rows(depth: int) -> str:
-        return f"CAST(least(_prior, {depth}) AS DOUBLE)"
-
-    def z(x: str, i: int, depth: int, minimum: int) -> str:
-        return z_score_sql(x, rows(depth), f"(_s0[{i}] - _s{depth}[{i}])", f"(_q0[{i}] - _q{depth}[{i}])", minimum)
+    def z(x: str, i: int, name: str, minimum: int) -> str:
+        usable = f"{x} IS NOT NULL AND _{name}_n[{i}] >= {max(minimum, 2)} AND _{name}_sd[{i}] > 0D"
+        return f"CASE WHEN {usable} THEN {clipped(f'({x} - _{name}_mean[{i}]) / _{name}_sd[{i}]')} ELSE 0D END"
 
     out = []
     for i, f in enumerate(features):
         x = f"CAST(`{f}` AS DOUBLE)"
-        long_sum = f"(_s0[{i}] - _s{windows.long_sum}[{i}])"
-        ratio = f"{x} / ({long_sum} / {windows.long_sum}D + 0.5D)"
-        mean = f"(_s0[{i}] - _s{windows.delta}[{i}]) / {rows(windows.delta)}"
+        ratio = f"{x} / (_long_sum[{i}] / {windows.long_sum}D + 0.5D)"
+        known = f"{x} IS NOT NULL AND _long_sum[{i}] IS NOT NULL"
         out += [
-            f"CASE WHEN _prior > 0 THEN _s0[{i}] - _s{windows.short_sum}[{i}] END AS `{f}_7d_sum`",
-            f"CASE WHEN _prior > 0 THEN {long_sum} END AS `{f}_30d_sum`",
-            f"CASE WHEN _prior > 0 THEN greatest(0D, least(50D, {ratio})) END AS `{f}_1d_over_30d_ratio`",
-            f"{z(x, i, windows.z, windows.z_min)} AS `{f}_zscore`",
-            f"{z(x, i, windows.z_long, windows.z_long_min)} AS `{f}_zscore_90d`",
-            f"CASE WHEN _prior > 0 THEN coalesce({x} - {mean}, 0D) ELSE 0D END AS `{f}_rolling_delta`",
+            f"_short_sum[{i}] AS `{f}_7d_sum`",
+            f"_long_sum[{i}] AS `{f}_30d_sum`",
+            f"CASE WHEN {known} THEN greatest(0D, least(50D, {ratio})) END AS `{f}_1d_over_30d_ratio`",
+            f"{z(x, i, 'z', windows.z_min)} AS `{f}_zscore`",
+            f"{z(x, i, 'z90', windows.z_long_min)} AS `{f}_zscore_90d`",
+            f"coalesce({x} - _delta_mean[{i}], 0D) AS `{f}_rolling_delta`",
         ]
     return [*out, f"_prior >= {windows.z_min} AS baseline_complete"]
 
 
-def z_score_sql(x: str, n: str, total: str, squares: str, minimum: int) -> str:
-    """Clipped (x - mean) / sample deviation of n values given their sum and sum of squares; else 0."""
-    spread = f"({n} * {squares} - {total} * {total})"
-    usable = f"{n} >= {max(minimum, 2)} AND {spread} > {n} * {squares} * {RELATIVE_NOISE!r}D"
-    z = f"({x} - {total} / {n}) / sqrt({spread} / ({n} * ({n} - 1)))"
-    return f"CASE WHEN {x} IS NOT NULL AND {usable} THEN greatest(-{CLIP}D, least({CLIP}D, {z})) ELSE 0D END"
+def clipped(z: str) -> str:
+    return f"greatest(-{CLIP}D, least({CLIP}D, {z}))"
 
 
 def user_baselines(
@@ -106,7 +92,7 @@ def user_baselines(
     """Adds per feature ``_7d_sum``, ``_30d_sum``, ``_1d_over_30d_ratio``, ``_zscore``,
     ``_zscore_90d`` and ``_rolling_delta``, and the history gate ``baseline_complete``."""
     kept = [f"`{c}`" for c in df.columns]
-    return with_totals(df, features, windows).selectExpr(*kept, *statistic_columns(features, windows))
+    return with_history(df, features, windows).selectExpr(*kept, *statistic_columns(features, windows))
 
 
 def with_peer_scores(
@@ -121,27 +107,47 @@ def with_peer_scores(
     ``peers`` has one row per user with ``peer_col``; other users form the group
     "Unknown". Group sums come from a partial aggregation and are joined back, so
     a dominant peer group is never gathered into one task. Profile columns can be
-    joined in the same step.
+    joined in the same step. Sums of whole-number features are exact decimals; of
+    others, mean and variance of the group are taken, from which one member is removed.
     """
+    whole = {f for f in features if df.schema[f].dataType.typeName() in ("byte", "short", "integer", "long")}
     group = peers.select("user", F.col(peer_col).alias("_peer"))
     member = df.join(group, "user", "left").withColumn("_peer", F.coalesce("_peer", F.lit("Unknown")))
-    value = [f"CAST(`{f}` AS DOUBLE)" for f in features]
+    value = {f: f"CAST(`{f}` AS {'DECIMAL(19,0)' if f in whole else 'DOUBLE'})" for f in features}
+
+    def array(parts: list[str]) -> Column:
+        return F.expr(f"array({', '.join(parts)})")
+
     sums = member.groupBy("_peer", "day").agg(
-        F.expr(f"array({', '.join(f'CAST(count({x}) AS DOUBLE)' for x in value)})").alias("_n"),
-        F.expr(f"array({', '.join(f'coalesce(sum({x}), 0D)' for x in value)})").alias("_s"),
-        F.expr(f"array({', '.join(f'coalesce(sum({x} * {x}), 0D)' for x in value)})").alias("_q"),
+        array([f"count({x})" for x in value.values()]).alias("_n"),
+        # of a whole-number feature sum and sum of squares, of others mean and variance
+        array([f"sum({value[f]})" for f in features if f in whole]).alias("_t"),
+        array([f"sum({value[f]} * {value[f]})" for f in features if f in whole]).alias("_q"),
+        array([f"avg({value[f]})" for f in features if f not in whole]).alias("_m"),
+        array([f"var_pop({value[f]})" for f in features if f not in whole]).alias("_v"),
     )
 
     added: list[str] = []
     if user_profiles is not None:
         member, added = with_profiles(member, user_profiles), fixed.PROFILE_COLUMNS
-    z = []
-    for i, x in enumerate(value):
-        own = f"coalesce({x}, 0D)"
-        others = (f"(_n[{i}] - 1)", f"(_s[{i}] - {own})", f"(_q[{i}] - {own} * {own})")
-        z.append(z_score_sql(x, *others, 2))
+    z, at = [], {True: 0, False: 0}
+    for i, (f, x) in enumerate(value.items()):
+        k = at[f in whole]
+        at[f in whole] += 1
+        n = f"(_n[{i}] - 1)"
+        if f in whole:
+            total, squares = f"(_t[{k}] - {x})", f"(_q[{k}] - {x} * {x})"
+            spread = f"CAST({n} * {squares} - {total} * {total} AS DOUBLE) / {n}"
+            off = f"CAST({x} * {n} - {total} AS DOUBLE) / {n}"
+            usable = f"{n} * {squares} > {total} * {total}"
+        else:
+            off = f"({x} - _m[{k}]) * _n[{i}] / {n}"
+            spread = f"(_v[{k}] * _n[{i}] - ({x} - _m[{k}]) * {off})"
+            usable = f"{spread} > {ROUNDING}D * (_v[{k}] * _n[{i}] + {n} * {ROUNDING}D * _m[{k}] * _m[{k}])"
+        score = clipped(f"{off} / sqrt({spread} / ({n} - 1))")
+        z.append(f"CASE WHEN {x} IS NOT NULL AND {n} >= 2 THEN CASE WHEN {usable} THEN {score} ELSE 0D END ELSE 0D END")
     joined = member.join(sums, ["_peer", "day"])
-    return joined.select(*df.columns, *added, F.expr(f"array({', '.join(z)})").alias("_peer_z"))
+    return joined.select(*df.columns, *added, array(z).alias("_peer_z"))
 
 
 def peer_columns(features: list[str]) -> list[str]:

@@ -79,7 +79,7 @@ def enriched_user_days(
         peers = profiles.peer_assignment(directory, settings.peer_col)
         table = bl.with_peer_scores(collapsed, features, peers, settings.peer_col, profiles.latest_profiles(directory))
         named, extra = bl.peer_columns(features), fixed.PROFILE_COLUMNS
-    table = bl.with_totals(table, features, settings.windows)
+    table = bl.with_history(table, features, settings.windows)
     flags = layers.flag_rules(collapsed.columns)
     return table.select(
         *[F.expr(e) for e in [*kept, *bl.statistic_columns(features, settings.windows), *named]],

@@ -263,6 +263,46 @@ def peer_zscore(spark, sf_dir):
     return rounded(table.select("user", "day", *[f"{f}_peer_zscore" for f in COUNTS]))
 
 
+# Scores don't depend on the level of the values: the SQL has them at the level of the counts.
+_LEVEL, _BURST = 10_000_000, 2_000_000_000
+_burst = f"CASE WHEN row_number() OVER (PARTITION BY \"user\" ORDER BY day) = 1 THEN {_BURST} ELSE n END"
+
+
+@query(
+    "zscore_large_values",
+    with_views(
+        f"""SELECT "user", day, {', '.join(f'round({z_sql(f"CAST({x} AS DOUBLE)", w, m)}, 3) + 0.0 AS {x}_{name}' for x in ('high', 'burst') for name, w, m in (('zscore', 'z_w', WINDOWS.z_min), ('zscore_90d', 'zl_w', WINDOWS.z_long_min)))}
+FROM (SELECT "user", day, n AS high, {_burst} AS burst FROM user_day) {baseline_windows_sql(WINDOWS)}"""
+    ),
+)
+def zscore_large_values(spark, sf_dir):
+    """Scores of counts on a high level, and of counts after one very large day."""
+    table = sv.user_days(spark, sf_dir).select(
+        "user", "day", (F.col("n") + _LEVEL).alias("high"), F.expr(_burst.replace('"', "`")).cast("long").alias("burst")
+    )
+    names = [f"{x}_{z}" for x in ("high", "burst") for z in ("zscore", "zscore_90d")]
+    return rounded(bl.user_baselines(table, ["high", "burst"], WINDOWS).select("user", "day", *names), 3)
+
+
+@query(
+    "peer_zscore_large_values",
+    with_views(
+        f"""SELECT "user", day, round({peer_z_sql('CAST(n AS DOUBLE)')}, 3) + 0.0 AS high_peer_zscore,
+  round({peer_z_sql('CAST(n AS DOUBLE)')}, 3) + 0.0 AS exact_peer_zscore
+FROM (SELECT u.*, coalesce(p.role, 'Unknown') AS peer FROM user_day u LEFT JOIN peer_of p USING ("user"))
+WINDOW peer_w AS (PARTITION BY peer, day)"""
+    ),
+)
+def peer_zscore_large_values(spark, sf_dir):
+    """Peer scores of counts on a high level, as whole numbers and as doubles."""
+    peers = profiles.peer_assignment(profiles.clean_directory(sv.directory(spark, sf_dir)))
+    table = sv.user_days(spark, sf_dir).select(
+        "user", "day", (F.col("n") + _LEVEL).cast("double").alias("high"), (F.col("n") + _LEVEL * _LEVEL // 1000).alias("exact")
+    )
+    scored = bl.peer_zscores(table, ["high", "exact"], peers)
+    return rounded(scored.select("user", "day", "high_peer_zscore", "exact_peer_zscore"), 3)
+
+
 @query(
     "unusual_user_days",
     with_views(

@@ -55,6 +55,47 @@ def test_peer_zscores_leave_the_user_out(spark):
     assert [got[u] for u in ("b0", "b1", "c0", "c1", "c2")] == [0, 0, 0, 0, 0]
 
 
+def past_z(values, i, window, low):
+    past = np.array([v for v in values[max(0, i - window) : i] if v is not None], float)
+    if values[i] is None or len(past) < low or past.std(ddof=1) == 0:
+        return 0
+    return np.clip((values[i] - past.mean()) / past.std(ddof=1), -10, 10)
+
+
+@pytest.mark.parametrize("level", [10**6, 10**8, 10**10])
+def test_a_large_past_does_not_spoil_later_scores(spark, level):
+    rng = np.random.default_rng(1)
+    values = [level + int(v) for v in rng.integers(-8, 9, 120)] + [2_000_000_000] + [int(v) for v in rng.integers(1, 20, 150)]
+    values[200] = None
+    for i in range(230, 240):
+        values[i] = None
+    rows = [("u", DAY + timedelta(days=i), v, None if v is None else v / 8) for i, v in enumerate(values)]
+    got = bl.user_baselines(spark.createDataFrame(rows, "user string, day date, n long, x double"), ["n", "x"]).toPandas().sort_values("day")
+    for name, window, low in (("zscore", 30, 14), ("zscore_90d", 90, 30)):
+        want = [past_z(values, i, window, low) for i in range(len(values))]
+        for f in ("n", "x"):
+            np.testing.assert_allclose(got[f"{f}_{name}"], want, atol=1e-6)
+
+
+def test_peer_scores_at_any_level(spark):
+    rng = np.random.default_rng(2)
+    groups = {
+        "a": [10**7 + int(v) for v in rng.integers(-5, 6, 12)], "b": [10**12 + int(v) for v in rng.integers(-5, 6, 12)],
+        "c": [int(v) for v in rng.integers(0, 9, 12)] + [2_000_000_000], "d": [10**9] * 6, "e": [3, 4, None, 9, 2],
+    }
+    rows = [(f"{g}{i}", DAY, v, None if v is None else v / 4) for g, vs in groups.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "user string, day date, n long, x double")
+    peers = spark.createDataFrame([(u, u[0]) for u, *_ in rows], "user string, role string")
+    got = {r["user"]: r for r in bl.peer_zscores(df, ["n", "x"], peers).collect()}
+    for g, vs in groups.items():
+        for i, v in enumerate(vs):
+            others = np.array([0 if v is None else w - v for j, w in enumerate(vs) if j != i and w is not None], float)
+            want = 0 if v is None or others.std(ddof=1) == 0 else np.clip(-others.mean() / others.std(ddof=1), -10, 10)
+            assert got[f"{g}{i}"]["n_peer_zscore"] == pytest.approx(want, abs=1e-6)
+            if g in "ade":
+                assert got[f"{g}{i}"]["x_peer_zscore"] == pytest.approx(want, abs=1e-6)
+
+
 def test_chronological_split(spark):
     df = spark.createDataFrame([(DAY + timedelta(days=i % 30), i) for i in range(90)], "day date, i int")
     train, test = splits.chronological_split(df, 0.9)
