@@ -205,21 +205,13 @@ def read_logs(spark, sf_dir):
 
 @query("read_directory", with_views("SELECT * FROM directory_clean"))
 def read_directory(spark, sf_dir):
-    """Snapshot files named by month, one part folder each."""
+    """Snapshots named by month, a folder of parts each."""
     folder = scratch_path(spark, "directory")
-    snapshots = sv.directory(spark, sf_dir)
-    named = snapshots.withColumn("month", F.date_format("snapshot", "yyyy-MM"))
-    fs = spark._jvm.org.apache.hadoop.fs
+    named = sv.directory(spark, sf_dir).withColumn("month", F.date_format("snapshot", "yyyy-MM"))
     for month in ("2024-01", "2024-02"):
-        part = f"{folder}/parts-{month}"
-        named.where(F.col("month") == month).drop("snapshot", "month").coalesce(1).write.option("header", True).csv(part)
-        root = fs.Path(part)
-        system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        for status in system.listStatus(root):
-            if status.getPath().getName().endswith(".csv"):
-                system.mkdirs(fs.Path(f"{folder}/all"))
-                fs.FileUtil.copy(system, status.getPath(), system, fs.Path(f"{folder}/all/{month}.csv"), False, spark._jsc.hadoopConfiguration())
-    return log_sources.read_directory(spark, f"{folder}/all")
+        part = named.where(F.col("month") == month).drop("snapshot", "month")
+        part.write.option("header", True).csv(f"{folder}/{month}.csv")
+    return log_sources.read_directory(spark, folder)
 
 
 @query(
@@ -318,16 +310,44 @@ def cold_start_notices(spark, sf_dir):
 
 @query(
     "stream_daily_counts",
-    with_views("""SELECT "user", day, n, n_file AS files, n_http AS visits FROM user_day"""),
+    with_views(
+        """SELECT "user", day, count(*) AS n, count(*) FILTER (event_type = 'click') AS files, count(*) FILTER (event_type = 'view') AS visits
+FROM ev WHERE NOT (event_id % 11 = 0 AND day = (SELECT min(day) FROM ev)) GROUP BY "user", day"""
+    ),
 )
 def stream_daily_counts(spark, sf_dir):
-    """Raw events streamed in time-ordered files; the final state equals the batch counts."""
-    events = sv.table(spark, sf_dir, "events").select(
-        F.expr("concat('u', user_id)").alias("user"), F.col("ts").cast("timestamp").alias("ts"), "event_type"
-    )
+    """Raw events in time-ordered files, one a micro-batch; the final state equals the batch counts.
+
+    Some events come a file later, within the watermark, and count; some of the first day
+    come last, beyond it, and are dropped.
+    """
     path, out = scratch_path(spark, "events"), scratch_path(spark, "counts")
-    events.repartitionByRange(4, "ts").write.parquet(path)
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    counts = event_stream.daily_counts(source, {"files": "event_type = 'click'", "visits": "event_type = 'view'"})
-    event_stream.write_updates(counts, out, scratch_path(spark, "stream")).awaitTermination()
+    write_event_files(sv.table(spark, sf_dir, "events"), path)
+    stream_event_files(spark, path, out).awaitTermination()
     return event_stream.current_counts(spark.read.option("basePath", out).parquet(f"{out}/batch=*"))
+
+
+STREAM_DAYS = 5
+
+
+def write_event_files(events, path):
+    """A folder per ``STREAM_DAYS`` days, written in that order, and a last one with what is far too late."""
+    first = events.agg(F.min(F.to_date("ts")).cast("timestamp_ntz")).scalar()
+    age = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(first.cast("timestamp"))) / 86_400_000_000
+    # An event in the last quarter day of its file may come with the next.
+    late = (F.pmod(age, F.lit(float(STREAM_DAYS))) > STREAM_DAYS - 0.25) & (F.col("event_id") % 7 == 0)
+    part = F.floor(age / STREAM_DAYS) + F.when(late, 1).otherwise(0)
+    part = F.when((F.col("event_id") % 11 == 0) & (age < 1), 1_000_000).otherwise(part)
+    rows = events.select(
+        F.expr("concat('u', user_id)").alias("user"), F.col("ts").cast("timestamp").alias("ts"), "event_type", part.cast("int").alias("part")
+    )
+    rows = sinks.stored(events.sparkSession, rows, "parts")
+    for k in sorted(r["part"] for r in rows.select("part").distinct().collect()):  # a few folders
+        rows.where(F.col("part") == k).drop("part").repartition(1).write.parquet(f"{path}/part-{k:07d}")
+
+
+def stream_event_files(spark, path, out):
+    schema = "user string, ts timestamp, event_type string"
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part-*")
+    counts = event_stream.daily_counts(source, {"files": "event_type = 'click'", "visits": "event_type = 'view'"})
+    return event_stream.write_updates(counts, out, scratch_path(spark, "stream"))

@@ -38,10 +38,10 @@ def read_logs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def read_directory(spark: SparkSession, folder: str) -> DataFrame:
-    """Monthly snapshots ``YYYY-MM.csv``; the month comes from the file name."""
+    """Monthly snapshots ``YYYY-MM.csv``, files or folders of parts; the month comes from the path."""
     if not _exists(spark, folder):
         raise FileNotFoundError(f"directory snapshots not found at {folder}")
-    month = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{4}-\d{2})", 1)
+    month = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{4}-\d{2})[^/]*\.csv(?:/[^/]*)?$", 1)
     raw = _text_csv(spark, f"{folder}/*.csv").select(
         "user_id", "employee_name", "role", "department", "team", "functional_unit", "supervisor",
         F.to_date(F.concat(month, F.lit("-01"))).alias("snapshot"),

@@ -1,6 +1,7 @@
 """Extension: daily channel counts kept up to date from a stream of raw events.
 
-The final state equals the batch result; late events within the watermark are included.
+The final state equals the batch result; late events within the watermark are included,
+and ``dropped_rows`` says how many rows came after it.
 """
 
 from __future__ import annotations
@@ -42,3 +43,9 @@ def current_counts(updates: DataFrame) -> DataFrame:
     values = [c for c in updates.columns if c not in ("user", "day", "batch", "batch_id")]
     newest = F.max_by(F.struct(*values), "batch_id").alias("v")
     return updates.groupBy("user", "day").agg(newest).select("user", "day", *[f"v.{c}" for c in values])
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows (counts of a micro-batch, per day and user) that came later than the watermark allows."""
+    states = [state for progress in query.recentProgress for state in progress.get("stateOperators", [])]
+    return sum(state.get("numRowsDroppedByWatermark", 0) for state in states)

@@ -74,9 +74,11 @@ def score_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         # Ranking reads the scored rows more than once; a lost block is recomputed from the source files.
         scored = score(batch).persist()
-        records = live_records(scored, baseline, passthrough or [], ceilings)
-        records.write.mode("overwrite").json(f"{out_path}/batch={batch_id}")
-        scored.unpersist()
+        try:
+            records = live_records(scored, baseline, passthrough or [], ceilings)
+            records.write.mode("overwrite").json(f"{out_path}/batch={batch_id}")
+        finally:
+            scored.unpersist()
 
     return (
         source.writeStream.foreachBatch(write)
