@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from daywatch import fixed
 from daywatch.functions import bands, naming
 from daywatch.operators.ranking import percentile_ranks
+from daywatch.sources.sinks import stored
 
 Ceilings = dict[str, float | Column | None]
 
@@ -186,7 +187,7 @@ def context_maps(df: DataFrame, features: list[str]) -> DataFrame:
 def aligned_join(left: DataFrame, right: DataFrame, what: str = "tables") -> DataFrame:
     """Inner join on (user, day) of tables that must hold exactly the same keys; else an error with the counts."""
     keys = ["user", "day"]
-    joined = left.join(right, keys)
+    joined = stored(left.sparkSession, left.join(right, keys), "aligned")
     sides = [
         d.select(F.lit(i).alias("side"))
         for i, d in enumerate((left.select(*keys), right.select(*keys), joined.select(*keys)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,30 +82,35 @@ def thresholds(reference: DataFrame, percents: tuple[float, ...] = PERCENTS, sco
     return wide.select(F.inline(pairs))
 
 
-def _per_threshold(scored: DataFrame, reference: DataFrame, percents: tuple[float, ...]) -> DataFrame:
-    """Scored rows repeated per threshold (three by default), with ``flagged``."""
+def _at_thresholds(
+    scored: DataFrame, reference: DataFrame, percents: tuple[float, ...], measures: Callable[[Column], list[Column]]
+) -> DataFrame:
+    """``percentile`` and the aggregates of ``measures(flagged)`` for each threshold, in one pass over the scores.
+
+    One row per threshold, also without scores.
+    """
     wide = percentiles(reference, "score", list(percents))
-    row = wide.select(F.struct(*wide.columns)).scalar()
-    levels = F.array(
-        *[
-            F.struct(F.lit(float(p)).alias("percentile"), F.col("_t")[percent_label(p)].alias("threshold"))
-            for p in percents
-        ]
-    )
-    spread = scored.withColumn("_t", row).select(*scored.columns, F.inline(levels))
-    return spread.withColumn("flagged", F.col("score") >= F.col("threshold"))
+    limits = scored.withColumn("_t", wide.select(F.struct(*wide.columns)).scalar())
+    rows = [
+        F.struct(F.lit(float(p)).alias("percentile"), *measures(F.col("score") >= F.col("_t")[percent_label(p)]))
+        for p in percents
+    ]
+    return limits.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def confusion(
     scored: DataFrame, reference: DataFrame, percents: tuple[float, ...] = PERCENTS
 ) -> DataFrame:
     """Confusion counts and rates per percentile threshold; a rate without cases is 0."""
-    hit, positive = F.col("flagged"), F.col("label") == 1
-    counts = _per_threshold(scored, reference, percents).groupBy("percentile").agg(
-        F.count_if(~hit & ~positive).alias("tn"),
-        F.count_if(hit & ~positive).alias("fp"),
-        F.count_if(~hit & positive).alias("fn"),
-        F.count_if(hit & positive).alias("tp"),
+    positive = F.col("label") == 1
+    counts = _at_thresholds(
+        scored, reference, percents,
+        lambda hit: [
+            F.count_if(~hit & ~positive).alias("tn"),
+            F.count_if(hit & ~positive).alias("fp"),
+            F.count_if(~hit & positive).alias("fn"),
+            F.count_if(hit & positive).alias("tp"),
+        ],
     )
 
     def rate(part: str, other: str) -> Column:
@@ -118,8 +125,10 @@ def recall_at_percentiles(
     scored: DataFrame, reference: DataFrame | None = None, percents: tuple[float, ...] = PERCENTS
 ) -> DataFrame:
     """Share of labelled rows flagged, with thresholds from the reference or from the scores themselves."""
-    return _per_threshold(scored, reference if reference is not None else scored, percents).groupBy("percentile").agg(
-        F.try_divide(F.count_if(F.col("flagged") & (F.col("label") == 1)), F.count_if(F.col("label") == 1)).alias("recall")
+    positive = F.col("label") == 1
+    return _at_thresholds(
+        scored, reference if reference is not None else scored, percents,
+        lambda hit: [F.try_divide(F.count_if(hit & positive), F.count_if(positive)).alias("recall")],
     )
 
 
@@ -140,24 +149,29 @@ def user_detection_rate(
     users = active_windows(scored, windows).select("user").distinct()
     peaks = scored.groupBy("user").agg(F.max("score").alias("score"))
     watched = users.join(peaks, "user", "left")
-    return _per_threshold(watched, reference, percents).groupBy("percentile").agg(
-        F.count_if("flagged").alias("detected"),
-        F.count(F.lit(1)).alias("total_labelled"),
-        F.try_divide(F.count_if("flagged"), F.count(F.lit(1))).alias("rate"),
+    return _at_thresholds(
+        watched, reference, percents,
+        lambda hit: [
+            F.count_if(hit).alias("detected"),
+            F.count(F.lit(1)).alias("total_labelled"),
+            F.coalesce(F.try_divide(F.count_if(hit), F.count(F.lit(1))), F.lit(0.0)).alias("rate"),
+        ],
     )
 
 
 def alert_volume(scored: DataFrame, reference: DataFrame, percents: tuple[float, ...] = PERCENTS) -> DataFrame:
     """Flagged rows in total and per calendar day, and how many of them are labelled."""
-    spread = _per_threshold(scored, reference, percents)
-    counts = spread.groupBy("percentile").agg(
-        F.count_if("flagged").alias("total_flagged"),
-        (F.date_diff(F.max("day"), F.min("day")) + 1).alias("_days"),
-        F.count_if(F.col("flagged") & (F.col("label") == 1)).alias("true_positives"),
+    counts = _at_thresholds(
+        scored, reference, percents,
+        lambda hit: [
+            F.count_if(hit).alias("total_flagged"),
+            (F.date_diff(F.max("day"), F.min("day")) + 1).alias("_days"),
+            F.count_if(hit & (F.col("label") == 1)).alias("true_positives"),
+        ],
     )
     return counts.select(
         "percentile", "total_flagged",
-        (F.col("total_flagged") / F.col("_days")).alias("alerts_per_day"),
+        F.coalesce(F.col("total_flagged") / F.col("_days"), F.lit(0.0)).alias("alerts_per_day"),
         "true_positives",
         F.coalesce(F.try_divide("true_positives", "total_flagged"), F.lit(0.0)).alias("alert_precision"),
     )

@@ -174,3 +174,16 @@ def test_sentences(spark):
     ]
     phrases = listed(column(spark, ["foo_count_zscore", "foo_count_rolling_delta", "foo_rolling_delta", "contribution_logon_count"], "string"), naming.phrase_of(F.col("v")))
     assert phrases == ["unusually high foo count", "sudden spike in foo count", "sudden increase in foo", "elevated logon frequency"]
+
+
+def test_every_threshold_has_a_row_without_scores_or_windows(spark):
+    schema = "user string, day date, score double, label int"
+    day = date(2010, 1, 1)
+    scored = spark.createDataFrame([("a", day, 1.0, 0), ("b", day, 3.0, 1)], schema)
+    windows = spark.createDataFrame([("a", date(2011, 1, 1), date(2011, 1, 2), 1)], "user string, start_day date, end_day date, scenario int")
+    rate = {r["percentile"]: tuple(r)[1:] for r in evaluate.user_detection_rate(scored, windows, scored).collect()}
+    assert rate == {p: (0, 0, 0.0) for p in rate} and len(rate) == 3
+    none = scored.limit(0)
+    assert {tuple(r)[1:5] for r in evaluate.confusion(none, scored).collect()} == {(0, 0, 0, 0)}
+    assert {r["recall"] for r in evaluate.recall_at_percentiles(none, scored).collect()} == {None}
+    assert [tuple(r)[1:] for r in evaluate.alert_volume(none, scored).collect()] == [(0, 0.0, 0, 0.0)] * 3
