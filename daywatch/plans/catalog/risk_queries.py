@@ -353,17 +353,18 @@ def alert_table(spark, sf_dir):
     return rounded(alert_rows(spark, sf_dir).drop("top_contributors", "explanation"))
 
 
-@query(
-    "alert_explanations",
-    with_views(
-        """SELECT "user", day, printf('AE deviation at %.1fth pct (%s); IF anomaly at %.1fth pct (%s). Composite: %s (%.1fth pct). Drivers: %s',
+view(
+    "alert_text",
+    """SELECT "user", day, printf('AE deviation at %.1fth pct (%s); IF anomaly at %.1fth pct (%s). Composite: %s (%.1fth pct). Drivers: %s',
   ae_percentile_rank, ae_risk_band, if_percentile_rank, if_risk_band, composite_risk_band, composite_score, drivers) AS explanation
 FROM alert_rows JOIN (SELECT "user", day, string_agg(CASE WHEN z IS NULL THEN printf('%s (%.2f)', feature, value)
     WHEN delta IS NULL THEN printf('%s (z=%.1f, contrib=%.2f)', feature, z, value)
     ELSE printf('%s (z=%.1f, %+.1f vs 5-day avg, contrib=%.2f)', feature, z, delta, value) END, '; ' ORDER BY rn) AS drivers
-  FROM top3 GROUP BY "user", day) USING ("user", day)"""
-    ),
+  FROM top3 GROUP BY "user", day) USING ("user", day)""",
 )
+
+
+@query("alert_explanations", with_views("SELECT * FROM alert_text"))
 def alert_explanations(spark, sf_dir):
     return alert_rows(spark, sf_dir).select("user", "day", "explanation")
 

@@ -252,12 +252,19 @@ _register(
 )
 _register(
     "alert_detail",
-    f"""SELECT explanation FROM (SELECT "user", day, printf('AE deviation at %.1fth pct (%s); IF anomaly at %.1fth pct (%s). Composite: %s (%.1fth pct).', ae_percentile_rank, ae_risk_band, if_percentile_rank, if_risk_band, composite_risk_band, composite_score) AS explanation
-FROM alert_rows) WHERE "user" = '{USER}' AND day = '2024-01-20'""",
-    lambda s, d: serving.alert_detail(alert_rows(s, d), USER, "2024-01-20").select(
-        F.substring_index("explanation", " Drivers: ", 1).alias("explanation")
-    ),
+    f"""SELECT explanation, contributors FROM alert_text JOIN (SELECT "user", day, string_agg(printf('%s=%.4f', feature, value), ', ' ORDER BY rn) AS contributors FROM top3 GROUP BY "user", day) USING ("user", day)
+WHERE "user" = '{USER}' AND day = (SELECT max(day) FROM alert_rows WHERE "user" = '{USER}')""",
+    lambda s, d: _alert_detail(s, d),
 )
+
+
+def _alert_detail(spark, sf_dir):
+    rows = alert_rows(spark, sf_dir)
+    last = rows.where(F.col("user") == USER).agg(F.max("day").cast("string")).scalar()
+    shown = F.transform("top_contributors", lambda c: F.concat(c["feature"], F.lit("="), F.format_string("%.4f", c["value"])))
+    return serving.alert_detail(rows, USER, last).select("explanation", F.array_join(shown, ", ").alias("contributors"))
+
+
 _register(
     "user_radar",
     " UNION ALL ".join(
@@ -279,19 +286,6 @@ _register(
 )
 _register("bounds", "SELECT min(day) AS first_day, max(day) AS last_day FROM serving", lambda s, d: serving.bounds(serving_of(s, d)))
 _register("user_list", """SELECT DISTINCT "user" FROM serving""", lambda s, d: serving.users(serving_of(s, d)))
-_register(
-    "feature_groups_present",
-    _values({c: "1" for c in CHANNEL_OF}, "channel", "features", "(SELECT count(*) FROM serving)").replace("1 AS features", "CAST(1 AS INT) AS features"),
-    lambda s, d: _groups(s, d),
-)
-
-
-def _groups(spark, sf_dir):
-    table = serving_of(spark, sf_dir)
-    _, _, channels = serving.feature_groups(table)
-    items = [F.struct(F.lit(c).alias("channel"), F.lit(len(f)).alias("features")) for c, f in channels.items()]
-    return table.agg(F.array(*items).alias("i")).select(F.inline("i"))
-
 
 # --- serving table, wanted columns, one-user read -------------------------------------------
 

@@ -71,7 +71,7 @@ view(
     WHEN c_custkey % 6 = 1 THEN 'None' ELSE concat(' U', c_custkey % 40, ' ') END AS supervisor,
   CAST(concat(month, '-01') AS DATE) AS snapshot
 FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES ('2024-01'), ('2024-02')) months(month)
-WHERE c_acctbal >= 0 AND (month = '2024-01' OR c_acctbal >= 2000)""",
+WHERE month = '2024-01' OR c_acctbal >= 2000""",
 )
 view(
     "directory_clean",
