@@ -18,6 +18,7 @@ import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ BLOCK = 64
 CACHED = 400_000
 #: Slices longer than this are merged with a heap.
 LONG = 80
+#: Text bytes split at once: arrays over code points hold some forty times as much.
+SPLIT_BYTES = 1 << 20
 
 
 def class_table() -> np.ndarray:
@@ -146,9 +149,9 @@ class Splitter:
         if not len(codes):
             return b"", [0], []
         start = self.starts(codes)
-        width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        width = (codes >= 0x80).astype(np.uint8) + (codes >= 0x800) + (codes >= 0x10000) + np.uint8(1)
         width[codes == SENTINEL] = 0
-        ends = np.cumsum(width)
+        ends = np.cumsum(width, dtype=np.int64)
         offsets = (ends - width)[start].tolist()
         bounds = np.cumsum([0] + [len(a) + 1 for a in arrays])[:-1]
         return b"".join(texts), [*offsets, int(ends[-1])], np.add.reduceat(start, bounds, dtype=np.int64).tolist()
@@ -229,8 +232,6 @@ class Codec:
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        self.splitter = Splitter()
-        self.merge = Merger(self.ranks)
         self.known: dict[bytes, bytes] = {}
         tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
@@ -239,6 +240,14 @@ class Codec:
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
+    @cached_property
+    def splitter(self) -> Splitter:
+        return Splitter()
+
+    @cached_property
+    def merge(self) -> Merger:
+        return Merger(self.ranks)
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; null counts as empty."""
         raw, offsets, counts = self.splitter.split([t or b"" for t in texts])
@@ -293,7 +302,7 @@ def encode(docs: DataFrame, ranks: str, text_col: str = "text", ids: str = "ids"
         return [pa.array(rows, pa.binary()), pa.array([own.ends(r).astype("<u4").tobytes() for r in rows], pa.binary())]
 
     fields = [StructField(free_name(docs, n), BinaryType()) for n in (ids, ends)]
-    return with_columns(docs, text_col, fields, columns)
+    return with_columns(docs, text_col, fields, columns, SPLIT_BYTES)
 
 
 def decode(tokens: DataFrame, ranks: str, ids: str = "ids", ends: str = "ends", out: str = "decoded") -> DataFrame:

@@ -59,15 +59,19 @@ def texts_of(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
 
 
 def with_columns(
-    df: DataFrame, text: str, fields: list[StructField], fn: Callable[[list[bytes | None]], list[pa.Array]]
+    df: DataFrame,
+    text: str,
+    fields: list[StructField],
+    fn: Callable[[list[bytes | None]], list[pa.Array]],
+    most: int = BATCH_BYTES,
 ) -> DataFrame:
-    """Add ``fields`` that ``fn`` derives from the UTF-8 bytes of the column ``text``."""
+    """Add ``fields`` that ``fn`` derives from the UTF-8 bytes of the column ``text``, about ``most`` bytes at once."""
     at = df.columns.index(text)
     names = [*df.columns, *[f.name for f in fields]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, at):
+            for batch in pieces(whole, at, most):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *fn(texts_of(batch, at))], names=names)
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *fields]))
