@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daywatch.llm.text import ascii_lower
+from daywatch.llm.text import ascii_lower, stored
 
 # Spellings that licence guidelines treat as equal, British form first.
 SPELLINGS = [
@@ -113,15 +113,22 @@ def scan(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col:
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     empty = F.sha2(F.lit(""), 256)
-    lines = known.withColumnRenamed("text_digest", "line_digest").withColumnRenamed("license_id", "line_license")
-    rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("canonical"))
-    rows = rows.withColumn("text_digest", whole_digest(F.col("canonical")))
+    lines = known.select(F.unhex("text_digest").alias("line_digest"), F.col("license_id").alias("line_license"))
+    canonical_rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("canonical"))
     trimmed = F.transform(F.split("canonical", "\n", -1), lambda x: F.trim(x))
+    # Texts are read and brought to canonical form once; what follows reads digests only.
+    rows = stored(
+        canonical_rows.select(
+            "doc_id",
+            whole_digest(F.col("canonical")).alias("text_digest"),
+            F.transform(F.filter(trimmed, lambda x: x != ""), lambda x: F.unhex(F.sha2(x, 256))).alias("line_digests"),
+        ),
+        "digests",
+    )
     found = (
-        rows.select("doc_id", "text_digest", F.explode(F.filter(trimmed, lambda x: x != "")).alias("line"))
-        .withColumn("line_digest", F.sha2("line", 256))
+        rows.select("doc_id", "text_digest", F.explode("line_digests").alias("line_digest"))
         .join(lines, "line_digest")
-        .where(F.col("line_digest") != empty)
+        .where(F.col("line_digest") != F.unhex(empty))
     )
     # Copies and repeated rows share their notices: lines are counted once per row and text.
     notices = found.groupBy("doc_id", "text_digest").agg(
