@@ -1,9 +1,9 @@
 """Exact dedup: 128-bit content hashes find the groups, a comparison of bytes confirms them.
 
 Everything runs as DataFrame expressions. Only narrow rows (id, hashes, length) go
-through the grouping, which counts in each task before it shuffles; texts move once, to
-be compared with the text of their group's survivor. A hash shared by different texts
-splits its group by the texts themselves.
+through the grouping, which counts in each task before it shuffles. Texts move once, to
+meet their group; there the least and the greatest are compared byte by byte. Where they
+differ, a hash is shared by different texts, and the group is split by the texts themselves.
 """
 
 from __future__ import annotations
@@ -48,13 +48,14 @@ def exact_groups(
 
     # Bytes are compared inside groups only: texts move once, and what has a partner is kept.
     members = stored(texts.join(groups.where("n > 1"), "hash"), "members")
-    survivors = members.where(_is_best()).groupBy("hash").agg(F.min("norm").alias("kept_norm"))
-    strays = stored(
-        members.join(survivors, "hash").where("norm <> kept_norm").select("doc_id", "chars", "hash", "norm"), "strays"
-    )
+    # Copies fall together in the tasks before they shuffle; least and greatest text differ only in a collision.
+    mixed = members.groupBy("hash").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).where("least <> most")
+    mixed = stored(members.join(mixed.select("hash"), "hash"), "mixed")
+    survivors = mixed.where(_is_best()).groupBy("hash").agg(F.min("norm").alias("kept_norm"))
+    strays = mixed.join(survivors, "hash").where("norm <> kept_norm").select("doc_id", "chars", "hash", "norm")
     joined = rows.join(groups, "hash")
     best, size = F.col("best"), F.col("n")
-    if not strays.isEmpty():
+    if not mixed.isEmpty():
         own = strays.groupBy("hash", "norm").agg(F.count("*").alias("own_n"), _best().alias("own_best"))
         others = own.groupBy("hash").agg(F.sum("own_n").alias("others"))
         own = own.select("hash", F.sha2("norm", 256).alias("text_sha256"), "own_n", "own_best")
