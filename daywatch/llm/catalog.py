@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from daywatch.llm import bpe, exact, licenses, lm, packing, quality, simhash, substring, url_filters, warc
 from daywatch.llm import check_sql as sql
+from daywatch.llm.text import stored
 from daywatch.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,5 +136,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-likelihood of every document under a network trained on all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    known, values = lm.train(docs)
-    return lm.score(docs, known, values).drop("text")
+    counts = stored(lm.word_counts(docs, "text"), "words")
+    known, values = lm.train(docs, counts=counts)
+    return lm.score(docs, known, values, counts=counts, keep_text=False)
