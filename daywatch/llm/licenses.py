@@ -65,6 +65,19 @@ KNOWN = [
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
 ]
 
+# Words that follow "copyright" in the prose of licences, where a statement has a year or a holder.
+PROSE = (
+    "notices?|holders?|owners?|licen[cs]es?|laws?|statements?|and|or|interests?|permissions?|disclaimers?|"
+    "protection|treat(?:y|ies)|rights?|ownership|status|terms|infringements?|acts?|management|registration|"
+    "information|is|are|in|on|to|of|for|under|as|that|which|with|applies"
+)
+#: A line that is a copyright statement. "(c)" alone may number a clause, so it needs a year.
+STATEMENT = (
+    r"(^|\n)[ \t]*(?:©|\(c\)[ \t]*(?:copyright|©)|\(c\)[^\n]*?(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])"
+    r"|copyright[ \t]*(?:\(c\)|©|:|,?[ \t]*[0-9]{4})"
+    rf"|copyright[ \t]+(?!(?:{PROSE})(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}<\[{{])[^\n]*"
+)
+
 #: Known texts up to this many are broadcast (a digest and a short id each, under 10 MB).
 BROADCAST_ROWS = 50_000
 
@@ -72,12 +85,13 @@ BROADCAST_ROWS = 50_000
 def canonical(text: Column) -> Column:
     """Lines of canonical words.
 
-    Lines that begin with "copyright", "(c)" or the sign go; A-Z become lower case; every run
+    Lines that are copyright statements go, but not lines of prose that a line break made begin
+    with "copyright" (``STATEMENT``); A-Z become lower case; every run
     of other characters than letters, digits and line ends becomes a space; equivalent
     spellings become one. Null counts as empty.
     """
     out = ascii_lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", r"$1")
+    out = F.regexp_replace(out, STATEMENT, r"$1")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
     for british, one in SPELLINGS:
         out = F.replace(out, F.lit(british), F.lit(one))
@@ -85,7 +99,11 @@ def canonical(text: Column) -> Column:
 
 
 def whole_digest(canonical_text: Column) -> Column:
-    return F.sha2(F.trim(F.regexp_replace(canonical_text, r"[ \n]+", " ")), 256)
+    out = F.regexp_replace(canonical_text, r"[ \n]+", " ")
+    for british, one in SPELLINGS:
+        if " " in british:  # may have been broken between two lines
+            out = F.replace(out, F.lit(british), F.lit(one))
+    return F.sha2(F.trim(out), 256)
 
 
 def known_licences(spark: SparkSession) -> DataFrame:

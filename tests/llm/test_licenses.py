@@ -1,3 +1,5 @@
+import textwrap
+
 from daywatch.llm import licenses
 
 SCHEMA = "doc_id long, text string, license_id int, canonical string"
@@ -40,3 +42,26 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, licenses.MIT, 0, "")], SCHEMA)
     none = licenses.known_licences(spark).limit(0)
     assert [r["license_id"] for r in licenses.scan(docs, none).collect()] == [None]
+
+
+def test_digests_do_not_depend_on_the_wrapping(spark):
+    rows, expected = [], []
+    for name, text in [("MIT", licenses.MIT), ("ISC", licenses.ISC)]:
+        for width in [*range(40, 100), 10**6]:
+            body = "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n"))
+            rows.append((len(rows), "Copyright (c) 2001 Someone\n\n" + body))
+            expected.append(name)
+    assert [r[1] for r in sorted(scan(spark, rows))] == expected
+
+
+def test_only_copyright_statements_go(spark):
+    gone = [
+        "Copyright 2020", "copyright (C) Someone", "  Copyright The Authors", "(c) 2001 Someone", "(c) Someone, 1999",
+        "\u00a9 Someone", "(c) Copyright Someone", "Copyright: Someone", "COPYRIGHT\u00a9Someone", "Copyright, 2001 X",
+    ]
+    kept = [
+        "copyright notice and this", "COPYRIGHT HOLDERS BE LIABLE", "copyright owner that", "copyright", "copyrighted 2001",
+        "(c) You must retain, in the source form", "copyright license to reproduce", "copyright law",
+    ]
+    got = scan(spark, [(i, line + "\n" + licenses.MIT) for i, line in enumerate([*gone, *kept])])
+    assert [r[1] for r in sorted(got)] == ["MIT"] * len(gone) + [None] * len(kept)
