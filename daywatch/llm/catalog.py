@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daywatch.llm import bpe, exact, licenses, lm, packing, quality, simhash, substring, url_filters, warc
+from daywatch.llm import bpe, exact, licenses, lm, manifest, packing, quality, simhash, substring, url_filters, warc, whitening
 from daywatch.llm import check_sql as sql
-from daywatch.llm.text import stored
+from daywatch.llm import lines as line_dedup
+from daywatch.llm.text import ascii_lower, stored
 from daywatch.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +140,30 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = stored(lm.word_counts(docs, "text"), "words")
     known, values = lm.train(docs, counts=counts)
     return lm.score(docs, known, values, counts=counts, keep_text=False)
+
+
+@query("op11_line_dedup", sql.LINE_DEDUP)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without the lines that later ones repeat."""
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    x = F.col("lines")
+    return rows.select(
+        "doc_id", x["n_lines"].alias("n_lines"), x["n_dropped"].alias("n_dropped"),
+        F.sha2(x["kept_text"], 256).alias("kept_sha256"),
+    )
+
+
+@query("op12_merkle_manifest", sql.merkle_manifest())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verdict of every document; a fifth of them show a text in lower case."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    shown = [ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in fields]
+    claim = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, manifest.leaf(shown))
+    return manifest.manifest(docs, fields, claim=claim)
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight leading components of every vector, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

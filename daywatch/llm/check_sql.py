@@ -181,3 +181,95 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN first_id <> page_id THEN first_id END AS refers_to, true AS digest_ok
 FROM q LEFT JOIN f USING (digest)
 """
+
+
+LINE_DEDUP = f"""
+WITH src AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT doc_id, i, lines[i] AS line,
+         translate(regexp_replace(lines[i], '^{SPACE_CLASS}+|{SPACE_CLASS}+$', '', 'g'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM src)),
+common AS (
+  SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT doc_id, i, line, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM lines LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def merkle_manifest(levels: int = 8) -> str:
+    """Trees of up to ``16 ** levels`` documents a source, and as many sources."""
+
+    def leaf(text_column: str) -> str:
+        fields = [
+            f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+            for c in ("doc_id", "d.source", "lang", "n_chars", text_column)
+        ]
+        return f"sha256({' || '.join(fields)})"
+
+    def tree(name: str, start: str) -> str:
+        """Common table expressions {name}0.. with g, i, h, n, and {name}_path0.. with what stands beside a node."""
+        parts = [f"{name}0 AS MATERIALIZED ({start})"]
+        for k in range(levels):
+            parts.append(
+                f"{name}{k + 1} AS MATERIALIZED (SELECT g, i // 16 AS i, "
+                "CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, "
+                f"(any_value(n) + 15) // 16 AS n FROM {name}{k} GROUP BY g, i // 16)"
+            )
+            run = "PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN"
+            parts.append(
+                f"{name}_path{k} AS MATERIALIZED (SELECT g, i, n > 1 AS up, "
+                f"coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, "
+                f"coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS z FROM {name}{k})"
+            )
+        return ", ".join(parts)
+
+    def walk(name: str, before: str, g: str, i: str) -> tuple[str, str]:
+        """Common table expressions that lead rows ``doc_id, g, i, s, proof, node`` up a tree, and the last one's name."""
+        parts = []
+        for k in range(levels):
+            parts.append(
+                f"{name}_walk{k} AS MATERIALIZED (SELECT w.* EXCLUDE (proof, node), "
+                "CASE WHEN up THEN proof || a || z ELSE proof END AS proof, "
+                f"CASE WHEN up THEN sha256(a || node || z) ELSE node END AS node FROM {before} w "
+                f"JOIN {name}_path{k} p ON p.g = w.{g} AND p.i = w.{i} // {16**k})"
+            )
+            before = f"{name}_walk{k}"
+        return ", ".join(parts), before
+
+    lower, last = walk("t", "shown", "g", "i")
+    upper, last = walk("r", last, "zero", "g")
+    return f"""
+WITH bits AS (SELECT range(0, 8) AS eight),
+crc(b, v) AS (
+  SELECT b, list_reduce(list_prepend(b, eight),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+  FROM (SELECT unnest(range(0, 256)) AS b), bits),
+steps AS (SELECT list(v ORDER BY b) AS t FROM crc),
+ids AS (
+  SELECT doc_id, list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)) AS codes
+  FROM documents WHERE doc_id IS NOT NULL),
+tampered AS (
+  SELECT DISTINCT doc_id FROM ids, steps
+  WHERE xor(list_reduce(codes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 5 = 0),
+groups AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT source FROM documents)),
+docs AS (
+  SELECT doc_id, g, 0 AS zero, {leaf("text")} AS leaf,
+         {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered
+  FROM documents d JOIN groups s ON s.source IS NOT DISTINCT FROM d.source),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n
+  FROM docs),
+{tree("t", "SELECT g, i, leaf AS h, n FROM leaves")},
+{tree("r", f"SELECT 0 AS g, g AS i, h, count(*) OVER () AS n FROM t{levels}")},
+shown AS (
+  SELECT doc_id, g, i, zero, leaf, '' AS proof,
+         CASE WHEN doc_id IN (SELECT doc_id FROM tampered) THEN lowered ELSE leaf END AS node FROM leaves),
+{lower}, {upper}
+SELECT w.doc_id, w.leaf, s.h AS subroot, root.h AS root, sha256(w.proof) AS proof_sha256,
+       w.node AS folded_root, w.node = root.h AS verified
+FROM {last} w JOIN t{levels} s ON s.g = w.g, r{levels} root
+"""
