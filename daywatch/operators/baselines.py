@@ -11,8 +11,6 @@ from daywatch import fixed
 from daywatch.operators.profiles import with_profiles
 
 CLIP = 10.0
-# Doubles: a spread below this share of what it was subtracted from is rounding.
-ROUNDING = 1e-13
 
 
 @dataclass(frozen=True)
@@ -95,6 +93,63 @@ def user_baselines(
     return with_history(df, features, windows).selectExpr(*kept, *statistic_columns(features, windows))
 
 
+def _array(parts: list[str]) -> Column:
+    return F.expr(f"array({', '.join(parts)})")
+
+
+def _extremes(member: DataFrame, values: list[str]) -> DataFrame:
+    """Per (peer, day) and value: count, least, greatest and, of these two, the one further from the mean;
+    also a centre, near the mean of the values but one of the further ones."""
+    keys = ["_peer", "day"]
+    found = member.groupBy(*keys).agg(
+        _array([f"count({x})" for x in values]).alias("_dn"),
+        _array([f"min({x})" for x in values]).alias("_least"),
+        _array([f"max({x})" for x in values]).alias("_most"),
+        _array([f"avg({x})" for x in values]).alias("_mean"),
+    )
+    far = [f"IF(_most[{i}] - _mean[{i}] >= _mean[{i}] - _least[{i}], _most[{i}], _least[{i}])" for i in range(len(values))]
+    found = found.withColumn("_far", _array(far))
+    centre = [f"_mean[{i}] + (_mean[{i}] - _far[{i}]) / greatest(_dn[{i}] - 1, 1)" for i in range(len(values))]
+    return found.withColumn("_centre", _array(centre)).drop("_mean")
+
+
+def _centred_sums(member: DataFrame, values: list[str]) -> DataFrame:
+    """``_extremes`` with the counts of least, greatest and further value and the sums over the others.
+
+    The sums are of distances from the centre and of their squares. One large value, that is the
+    further one, is in neither, so leaving a member out never takes away most of a sum.
+    """
+    keys = ["_peer", "day"]
+    extremes = _extremes(member, values)
+    near = [f"CASE WHEN {x} <> _far[{i}] THEN {x} - _centre[{i}] END" for i, x in enumerate(values)]
+    sums = (
+        member.join(extremes, keys)
+        .groupBy(*keys)
+        .agg(
+            _array([f"count_if({x} = _least[{i}])" for i, x in enumerate(values)]).alias("_n_least"),
+            _array([f"count_if({x} = _most[{i}])" for i, x in enumerate(values)]).alias("_n_most"),
+            _array([f"count_if({x} = _far[{i}])" for i, x in enumerate(values)]).alias("_n_far"),
+            _array([f"coalesce(sum({d}), 0D)" for d in near]).alias("_d"),
+            _array([f"coalesce(sum(({d}) * ({d})), 0D)" for d in near]).alias("_dd"),
+        )
+    )
+    return extremes.join(sums, keys)
+
+
+def _centred_score(x: str, k: int) -> tuple[str, str, str]:
+    """Distance of a double from the others' mean, the others' sum of squares, and whether they differ."""
+    n, far, own = f"(_dn[{k}] - 1)", f"(_far[{k}] - _centre[{k}])", f"({x} - _centre[{k}])"
+    is_far = f"{x} = _far[{k}]"
+    times = f"(_n_far[{k}] - IF({is_far}, 1, 0))"
+    total = f"(_d[{k}] - IF({is_far}, 0D, {own}) + {times} * {far})"
+    squares = f"(_dd[{k}] - IF({is_far}, 0D, {own} * {own}) + {times} * {far} * {far})"
+    # The others are all equal where this value is the only one of its kind and the rest are at
+    # the other end, or where all values are equal: counts say so exactly.
+    alone = f"({x} = _least[{k}] AND _n_least[{k}] = 1 AND _n_most[{k}] = {n} OR {x} = _most[{k}] AND _n_most[{k}] = 1 AND _n_least[{k}] = {n})"
+    differ = f"NOT ({alone} OR _least[{k}] = _most[{k}])"
+    return f"({own} - {total} / {n})", f"({squares} - {total} * {total} / {n})", differ
+
+
 def with_peer_scores(
     df: DataFrame,
     features: list[str],
@@ -107,47 +162,52 @@ def with_peer_scores(
     ``peers`` has one row per user with ``peer_col``; other users form the group
     "Unknown". Group sums come from a partial aggregation and are joined back, so
     a dominant peer group is never gathered into one task. Profile columns can be
-    joined in the same step. Sums of whole-number features are exact decimals; of
-    others, mean and variance of the group are taken, from which one member is removed.
+    joined in the same step.
+
+    Sums of whole-number features are exact decimals. Of others a first pass finds the extremes of
+    the group, and a second sums distances from a centre, leaving the value furthest out aside;
+    whether the others differ at all is told from counts of the extremes, without rounding. A
+    member whose others are all equal, or fewer than two, scores zero.
     """
-    whole = {f for f in features if df.schema[f].dataType.typeName() in ("byte", "short", "integer", "long")}
+    whole = [f for f in features if df.schema[f].dataType.typeName() in ("byte", "short", "integer", "long")]
+    doubles = [f for f in features if f not in whole]
     group = peers.select("user", F.col(peer_col).alias("_peer"))
     member = df.join(group, "user", "left").withColumn("_peer", F.coalesce("_peer", F.lit("Unknown")))
     value = {f: f"CAST(`{f}` AS {'DECIMAL(19,0)' if f in whole else 'DOUBLE'})" for f in features}
 
-    def array(parts: list[str]) -> Column:
-        return F.expr(f"array({', '.join(parts)})")
-
-    sums = member.groupBy("_peer", "day").agg(
-        array([f"count({x})" for x in value.values()]).alias("_n"),
-        # of a whole-number feature sum and sum of squares, of others mean and variance
-        array([f"sum({value[f]})" for f in features if f in whole]).alias("_t"),
-        array([f"sum({value[f]} * {value[f]})" for f in features if f in whole]).alias("_q"),
-        array([f"avg({value[f]})" for f in features if f not in whole]).alias("_m"),
-        array([f"var_pop({value[f]})" for f in features if f not in whole]).alias("_v"),
-    )
+    keys, groups = ["_peer", "day"], []
+    if whole:
+        groups.append(
+            member.groupBy(*keys).agg(
+                _array([f"count({value[f]})" for f in whole]).alias("_n"),
+                _array([f"sum({value[f]})" for f in whole]).alias("_t"),
+                _array([f"sum({value[f]} * {value[f]})" for f in whole]).alias("_q"),
+            )
+        )
+    if doubles:
+        groups.append(_centred_sums(member.select(*keys, *[f"`{f}`" for f in doubles]), [value[f] for f in doubles]))
 
     added: list[str] = []
     if user_profiles is not None:
         member, added = with_profiles(member, user_profiles), fixed.PROFILE_COLUMNS
-    z, at = [], {True: 0, False: 0}
-    for i, (f, x) in enumerate(value.items()):
-        k = at[f in whole]
-        at[f in whole] += 1
-        n = f"(_n[{i}] - 1)"
+    z = []
+    for f, x in value.items():
         if f in whole:
+            k = whole.index(f)
+            n = f"(_n[{k}] - 1)"
             total, squares = f"(_t[{k}] - {x})", f"(_q[{k}] - {x} * {x})"
             spread = f"CAST({n} * {squares} - {total} * {total} AS DOUBLE) / {n}"
             off = f"CAST({x} * {n} - {total} AS DOUBLE) / {n}"
-            usable = f"{n} * {squares} > {total} * {total}"
+            differ = f"{n} * {squares} > {total} * {total}"
         else:
-            off = f"({x} - _m[{k}]) * _n[{i}] / {n}"
-            spread = f"(_v[{k}] * _n[{i}] - ({x} - _m[{k}]) * {off})"
-            usable = f"{spread} > {ROUNDING}D * (_v[{k}] * _n[{i}] + {n} * {ROUNDING}D * _m[{k}] * _m[{k}])"
+            k = doubles.index(f)
+            n = f"(_dn[{k}] - 1)"
+            off, spread, differ = _centred_score(x, k)
         score = clipped(f"{off} / sqrt({spread} / ({n} - 1))")
-        z.append(f"CASE WHEN {x} IS NOT NULL AND {n} >= 2 THEN CASE WHEN {usable} THEN {score} ELSE 0D END ELSE 0D END")
-    joined = member.join(sums, ["_peer", "day"])
-    return joined.select(*df.columns, *added, array(z).alias("_peer_z"))
+        z.append(f"CASE WHEN {x} IS NOT NULL AND {n} >= 2 THEN CASE WHEN {differ} THEN {score} ELSE 0D END ELSE 0D END")
+    for sums in groups:
+        member = member.join(sums, keys)
+    return member.select(*df.columns, *added, _array(z).alias("_peer_z"))
 
 
 def peer_columns(features: list[str]) -> list[str]:

@@ -284,23 +284,33 @@ def zscore_large_values(spark, sf_dir):
     return rounded(bl.user_baselines(table, ["high", "burst"], WINDOWS).select("user", "day", *names), 3)
 
 
-@query(
-    "peer_zscore_large_values",
-    with_views(
-        f"""SELECT "user", day, round({peer_z_sql('CAST(n AS DOUBLE)')}, 3) + 0.0 AS high_peer_zscore,
-  round({peer_z_sql('CAST(n AS DOUBLE)')}, 3) + 0.0 AS exact_peer_zscore
+#: Columns of one query: level, and what is added to it. Eighths are exact in a double at each level.
+_PEER_LEVELS = {
+    **{f"high_e{e}": (10**e, "n / 8.0") for e in (2, 5, 7, 9, 11)},
+    **{f"coarse_e{e}": (10**e, "floor(n / 40.0) * 0.125") for e in (2, 5, 7, 9, 11)},
+}
+
+
+def _peer_levels_sql() -> str:
+    plain = {f: f"CAST({x} AS DOUBLE)" for f, (_, x) in _PEER_LEVELS.items()} | {"exact": "CAST(n AS DOUBLE)"}
+    scores = ", ".join(f"round({peer_z_sql(x)}, 3) + 0.0 AS {f}_peer_zscore" for f, x in plain.items())
+    return f"""SELECT "user", day, {scores}
 FROM (SELECT u.*, coalesce(p.role, 'Unknown') AS peer FROM user_day u LEFT JOIN peer_of p USING ("user"))
 WINDOW peer_w AS (PARTITION BY peer, day)"""
-    ),
-)
+
+
+@query("peer_zscore_large_values", with_views(_peer_levels_sql()))
 def peer_zscore_large_values(spark, sf_dir):
-    """Peer scores of counts on a high level, as whole numbers and as doubles."""
+    """Peer scores of counts on high levels, as doubles with many and with few distinct values, and as whole numbers."""
     peers = profiles.peer_assignment(profiles.clean_directory(sv.directory(spark, sf_dir)))
     table = sv.user_days(spark, sf_dir).select(
-        "user", "day", (F.col("n") + _LEVEL).cast("double").alias("high"), (F.col("n") + _LEVEL * _LEVEL // 1000).alias("exact")
+        "user", "day",
+        *[(F.lit(float(level)) + F.expr(x).cast("double")).alias(f) for f, (level, x) in _PEER_LEVELS.items()],
+        (F.col("n") + _LEVEL * _LEVEL // 1000).alias("exact"),
     )
-    scored = bl.peer_zscores(table, ["high", "exact"], peers)
-    return rounded(scored.select("user", "day", "high_peer_zscore", "exact_peer_zscore"), 3)
+    features = [*_PEER_LEVELS, "exact"]
+    scored = bl.peer_zscores(table, features, peers)
+    return rounded(scored.select("user", "day", *[f"{f}_peer_zscore" for f in features]), 3)
 
 
 @query(

@@ -1,4 +1,5 @@
 from datetime import date, timedelta
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -92,8 +93,69 @@ def test_peer_scores_at_any_level(spark):
             others = np.array([0 if v is None else w - v for j, w in enumerate(vs) if j != i and w is not None], float)
             want = 0 if v is None or others.std(ddof=1) == 0 else np.clip(-others.mean() / others.std(ddof=1), -10, 10)
             assert got[f"{g}{i}"]["n_peer_zscore"] == pytest.approx(want, abs=1e-6)
-            if g in "ade":
-                assert got[f"{g}{i}"]["x_peer_zscore"] == pytest.approx(want, abs=1e-6)
+            assert got[f"{g}{i}"]["x_peer_zscore"] == pytest.approx(want, abs=1e-6)
+
+
+def exact_z(values, i):
+    """Leave-one-out score in fractions; 0 where the others are equal."""
+    others = [Fraction(v) for j, v in enumerate(values) if j != i and v is not None]
+    if values[i] is None or len(others) < 2:
+        return 0.0
+    mean = sum(others) / len(others)
+    spread = sum((v - mean) ** 2 for v in others) / (len(others) - 1)
+    if not spread:
+        return 0.0
+    return float(np.clip(float(Fraction(values[i]) - mean) / float(spread) ** 0.5, -10, 10))
+
+
+def peer_groups(rng):
+    """Groups of doubles on many levels; in most of them some member's others are all equal."""
+    for level in (1e2, 1e3, 1e5, 1e7, 1e9, 1e11):
+        for size in (3, 5, 7, 30, 300):
+            yield [level] * size
+            yield [level] * (size - 1) + [level + 0.7]
+            yield [level + 0.7] + [level] * (size - 1)
+            yield [level] * (size - 1) + [-level * 1e3]
+            yield [level] * (size - 2) + [level + 0.3, level - 0.4]
+            yield [level + float(v) for v in rng.normal(size=size)]
+            yield [float(v) for v in rng.normal(size=size - 1)] + [level]
+            yield [0.1 + float(v) * 1e-3 for v in rng.normal(size=size - 2)] + [level, None]
+    yield [1e7, 2e7]
+    yield [5.0]
+    yield [0.1, 0.1, 0.3]
+
+
+def test_peer_scores_of_doubles_are_right_at_every_level(spark):
+    rng = np.random.default_rng(4)
+    groups = {f"g{k}": vs for k, vs in enumerate(peer_groups(rng))}
+    rows = [(f"{g}-{i}", DAY, v) for g, vs in groups.items() for i, v in enumerate(vs)]
+    peers = spark.createDataFrame([(u, u.split("-")[0]) for u, *_ in rows], "user string, role string")
+    df = spark.createDataFrame(rows, "user string, day date, x double").repartition(7)
+    got = {r["user"]: r["x_peer_zscore"] for r in bl.peer_zscores(df, ["x"], peers).collect()}
+    for g, vs in groups.items():
+        for i in range(len(vs)):
+            want = exact_z(vs, i)
+            if want == 0:
+                assert abs(got[f"{g}-{i}"]) < 1e-9, (vs[:3], len(vs), i)
+            else:
+                assert got[f"{g}-{i}"] == pytest.approx(want, rel=1e-6, abs=1e-9), (vs[:3], len(vs), i)
+
+
+def test_peer_scores_do_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(5)
+    values = [1e7 + 0.7] + [1e7] * 6
+    other = [1e5 + float(v) for v in rng.normal(size=30)]
+    rows = []
+    for order in range(100):  # each day has the same values, in an order of its own
+        day = DAY + timedelta(days=order)
+        rows += [(f"a{i}", day, values[i]) for i in rng.permutation(len(values))]
+        rows += [(f"b{i}", day, other[i]) for i in rng.permutation(len(other))]
+    peers = spark.createDataFrame([(f"a{i}", "a") for i in range(7)] + [(f"b{i}", "b") for i in range(30)], "user string, role string")
+    df = spark.createDataFrame(rows, "user string, day date, x double")
+    got = bl.peer_zscores(df.repartition(13), ["x"], peers).toPandas()
+    for user, scores in got.groupby("user").x_peer_zscore:
+        want = exact_z(values if user[0] == "a" else other, int(user[1:]))
+        assert len(scores) == 100 and np.abs(scores - want).max() < 1e-9
 
 
 def test_chronological_split(spark):
