@@ -1,11 +1,13 @@
 """Packing: cutting-stock column generation over the histogram of piece lengths.
 
-A document's tokens are cut into pieces of ``capacity`` tokens and a rest. Only the
-histogram of piece lengths, in ``capacity / UNIT`` classes, reaches the driver. There a
+A document's tokens are cut into pieces of ``capacity`` tokens and a rest. Pieces shorter than a
+sixteenth of that are strung together, shard by shard, into bundles of about an eighth, exact in
+their length, so that rounding costs short pieces no more than long ones. Only the histogram of
+lengths, in ``capacity / UNIT`` classes, reaches the driver. There a
 linear program over patterns (how many pieces of each class make up one sequence) is solved
 by column generation, a knapsack dynamic program pricing new patterns until the solution is
 within ``GAP`` of its bound. Rounded down, the patterns take almost all pieces; the few left
-by rounding, at most some per pattern, are placed first-fit. Pieces are ranked within
+by rounding, at most some per pattern, are placed first-fit. Pieces and bundles are ranked within
 their class, in shards so that no class is one task, and rank r takes the r-th place that the
 patterns have for its class.
 """
@@ -14,34 +16,82 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from daywatch.llm import blobs
 from daywatch.llm.text import pieces as runs_of
-from daywatch.llm.text import stored, texts_of
+from daywatch.llm.text import stored
 from daywatch.session import shuffle_width
 
 CAPACITY = 4096
 #: Tokens per length class: lengths are rounded up to it for the plan only.
 UNIT = 16
+#: Pieces shorter than this part of the capacity are bundled, to about the other part.
+SHORT, BUNDLE = 16, 8
 GAP = 0.002
-#: Words whose ids a worker keeps at most.
-CACHED_WORDS = 300_000
+#: Words whose ids a worker keeps at most, about 40 bytes each.
+CACHED_WORDS = 600_000
+#: What may follow the letters of a word.
+MARKS = ("", ".", ",")
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
+class Known:
+    """Token ids of strings met before, most used ones kept, as Arrow and numpy arrays."""
+
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        self.encode = encode
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = pa.array([], pa.string())
+        self.ids, self.lengths, self.uses = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def at(self, strings: pa.Array) -> np.ndarray:
+        """Places of distinct strings in ``ids_at``; new ones are encoded."""
+        found = pc.fill_null(pc.index_in(strings, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = found < 0
+        if new.any():
+            missing = strings.filter(pa.array(new))
+            ids, lengths = self.encode(missing)
+            found[new] = len(self.lengths) + np.arange(len(missing))
+            self.keys = pa.concat_arrays([self.keys, missing])
+            self.ids, self.lengths = np.append(self.ids, ids), np.append(self.lengths, lengths)
+            self.uses = np.append(self.uses, np.zeros(len(missing), np.int64))
+        self.uses[found] += 1
+        return found
+
+    def trim(self, most: int) -> None:
+        """Keep the strings used most, half of ``most``, once there are more."""
+        if len(self.lengths) > most:
+            kept = np.sort(np.argsort(-self.uses, kind="stable")[: most // 2])
+            self.ids = _gathered(self.ids, self.lengths, kept)
+            self.keys, self.lengths = self.keys.take(pa.array(kept)), self.lengths[kept]
+            self.uses = self.uses[kept] // 2
+
+
+def _gathered(values: np.ndarray, lengths: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The runs of values with these numbers, end to end."""
+    starts, size = (np.cumsum(lengths) - lengths)[chosen], lengths[chosen]
+    before = np.cumsum(size) - size
+    return values[np.repeat(starts - before, size) + np.arange(size.sum())]
+
+
 class WordEncoder:
-    """Token ids, as little-endian bytes, of texts whose tokenizer splits at white space anyway.
+    """Token ids of texts whose tokenizer splits at white space anyway.
 
-    Words are encoded once and kept. A new word of letters, with a full stop or comma after it
-    or not, is looked up by its letters alone; letters that are new too are encoded many in one
-    text and told apart by the tokens that end a word.
+    A batch's distinct words are found in Arrow and looked up once each. Words of letters, with a
+    full stop or comma after them or not, are brought to the tokenizer's normal form first and
+    looked up by their letters alone; the mark is a token of its own then. Letters not met before
+    are encoded many in one text and told apart by the tokens that end a word.
     """
 
     END = "</w>"
@@ -54,49 +104,85 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
-        self.marks = {m: self._ids(m.decode()) for m in (b"", b".", b",")}
-        self.known: dict[bytes, bytes] = {}
-        self.letters: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        words = [(t or b"").split() for t in texts]
-        new = {w for ws in words for w in ws if w not in self.known}
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = {w for ws in words for w in ws}
-        self._learn(new)
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
-
-    def _learn(self, new: set[bytes]) -> None:
-        parts, others = {}, []
-        for word in new:
-            mark = word[-1:] if len(word) > 1 and word[-1] in b".," else b""
-            stem = word[: len(word) - len(mark)]
-            # Lower case and composition of other letters are the tokenizer's.
-            core = stem.lower() if stem.isascii() else stem
-            if core.isalpha() or core.decode().isalpha():
-                parts[word] = core, mark
-            else:
-                others.append(word)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(others, found))
-        if len(self.letters) > CACHED_WORDS:
-            self.letters.clear()
-        missing = list({core for core, _ in parts.values()} - self.letters.keys())
-        if missing:
-            line = b" ".join(missing).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.nonzero(self.ends[ids])[0] + 1
-            if len(stops) == len(missing):
-                raw, stops = ids.tobytes(), (4 * stops).tolist()
-                self.letters.update((core, raw[a:b]) for core, a, b in zip(missing, [0, *stops], stops))
-            else:  # letters that this vocabulary splits further
-                self.letters.update((core, self._ids(core.decode())) for core in missing)
-        for word, (core, mark) in parts.items():
-            self.known[word] = self.letters[core] + self.marks[mark]
+        self.marks = [self._each([m])[0] for m in MARKS]
+        self.letters, self.others = Known(self._encode_letters), Known(lambda words: self._each(words.to_pylist()))
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def _encode_letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        line = " ".join(words.to_pylist())
+        ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.nonzero(self.ends[ids])[0] + 1
+        if len(stops) != len(words):  # letters that this vocabulary splits further
+            return self._each(words.to_pylist())
+        return ids, np.diff(stops, prepend=0)
+
+    def _normal(self, words: pa.Array) -> pa.Array:
+        """Words of letters and combining marks in the tokenizer's normal form."""
+        normalizer = self.tokenizer.normalizer
+        if normalizer is None or not len(words):
+            return words
+        listed = words.to_pylist()
+        found = normalizer.normalize_str(" ".join(listed)).split(" ")
+        if len(found) != len(listed):
+            found = [normalizer.normalize_str(w) for w in listed]
+        return pa.array(found, pa.string())
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, end to end, and how many each has."""
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        mark, stem = np.zeros(len(words), np.int64), words
+        for i, m in enumerate(MARKS):
+            if m:
+                has = pc.ends_with(words, m).to_numpy(zero_copy_only=False) & (size > 1)
+                mark[has] = i
+        if mark.any():
+            cut = pc.utf8_slice_codeunits(words, 0, -1)
+            stem = pc.if_else(pa.array(mark > 0), cut, words)
+        ascii_only = pc.string_is_ascii(stem)
+        plain = pc.and_(ascii_only, pc.ascii_is_alpha(stem)).to_numpy(zero_copy_only=False)
+        core = pc.ascii_lower(stem)
+        # Small Latin letters with their accents are in normal form already.
+        odd = ~ascii_only.to_numpy(zero_copy_only=False)
+        latin = odd.copy()
+        latin[odd] = pc.match_substring_regex(core.filter(pa.array(odd)), "^[a-zß-öø-ÿ]+$").to_numpy(zero_copy_only=False)
+        plain, odd = plain | latin, odd & ~latin
+        odd[odd] = pc.match_substring_regex(stem.filter(pa.array(odd)), "^[\\pL\\pM]+$").to_numpy(zero_copy_only=False)
+        if odd.any():
+            normal = self._normal(stem.filter(pa.array(odd)))
+            whole = pc.match_substring_regex(normal, "^\\pL+$").to_numpy(zero_copy_only=False)
+            core = pc.replace_with_mask(core, pa.array(odd), normal)
+            odd[odd] = whole
+        lettered = plain | odd
+        coded = core.filter(pa.array(lettered)).dictionary_encode()
+        at = self.letters.at(coded.dictionary)[coded.indices.to_numpy()]
+        other = self.others.at(words.filter(pa.array(~lettered)))
+
+        # One table of runs: marks, letters, other words.
+        values = np.concatenate([*self.marks, self.letters.ids, self.others.ids])
+        lengths = np.concatenate([[len(m) for m in self.marks], self.letters.lengths, self.others.lengths])
+        lengths = lengths.astype(np.int64)
+        first = np.empty(len(words), np.int64)
+        first[lettered] = len(MARKS) + at
+        first[~lettered] = len(MARKS) + len(self.letters.lengths) + other
+        runs = np.stack([first, np.where(lettered, mark, 0)], 1).ravel()  # the empty mark has no ids
+        return _gathered(values, lengths, runs), lengths[runs].reshape(-1, 2).sum(1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and how many each has; null is empty."""
+        self.letters.trim(CACHED_WORDS)
+        self.others.trim(CACHED_WORDS // 4)
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        offsets = split.offsets.to_numpy()
+        flat = split.values.slice(offsets[0], offsets[-1] - offsets[0])
+        coded = flat.cast(pa.string()).dictionary_encode()
+        ids, lengths = self.words(coded.dictionary)  # an empty one at the edge of a text has no ids
+        codes = coded.indices.to_numpy()
+        upto = np.concatenate([[0], np.cumsum(lengths[codes])])
+        return _gathered(ids, lengths, codes), np.diff(upto[offsets - offsets[0]])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -114,25 +200,28 @@ def token_pieces(
 ) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, ids`` of each piece; ids only with ``keep_ids``."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     schema = StructType([narrow.schema["doc_id"], *StructType.fromDDL(PIECE).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
         for whole in batches:
             for batch in runs_of(whole, 1):
+                flat, sizes = encode(batch.column(1))
                 rows, starts, lengths, sums, totals, ids = [], [], [], [], [], []
-                for i, own in enumerate(encode(texts_of(batch, 1))):
-                    own += end
-                    total = len(own) // 4
-                    for start in range(0, total, capacity):
-                        part = own[4 * start : 4 * (start + capacity)]
+                at = 0
+                for i, size in enumerate(sizes.tolist()):
+                    own, at = flat[at : at + size], at + size
+                    for start in range(0, size + 1, capacity):
+                        part = own[start : start + capacity]
+                        if start + capacity > size:
+                            part = np.append(part, end)
                         rows.append(i)
                         starts.append(start)
-                        lengths.append(len(part) // 4)
-                        sums.append(zlib.crc32(part))
-                        totals.append(total)
-                        ids.append(blobs.pack(np.frombuffer(part, "<u4")) if keep_ids else None)
+                        lengths.append(len(part))
+                        sums.append(zlib.crc32(part.astype("<u4", copy=False)))
+                        totals.append(size + 1)
+                        ids.append(blobs.pack(part.astype("<u4", copy=False)) if keep_ids else None)
                 columns = [pa.array(c, pa.int64()) for c in (starts, lengths, sums, totals)]
                 taken = batch.column(0).take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([taken, *columns, pa.array(ids, pa.binary())], names=schema.names)
@@ -263,43 +352,66 @@ def pack(
     The ids of a document are those of its text under the vocabulary file (of a tokenizer that
     drops white space), then ``end_id``. Each id lies in one piece; a sequence's pieces have no
     gap between them. With ``keep_ids`` a column ``ids`` holds the piece's packed ids. Null and
-    empty texts are the end id alone. Null ids and repeated rows are packed like others.
+    empty texts are the end id alone. Null ids and repeated rows are packed like others, a row as
+    many pieces as it has. Texts of any length are cut into pieces. An empty table has no pieces.
+    Columns other than the two don't matter, whatever their names.
     """
     spark = docs.sparkSession
     every = stored(token_pieces(docs, vocabulary, end_id, capacity, id_col, text_col, keep_ids), "pieces")
-    every = every.withColumn("unit", F.ceil(F.col("length") / F.lit(UNIT)).cast("int"))
-    counts = np.zeros(-(-capacity // UNIT) + 1, np.int64)
-    for unit, n in every.groupBy("unit").count().collect():  # one row a class
-        counts[unit] = n
-    plan = Plan(counts)
-
     shards = 4 * shuffle_width(spark)
-    every = every.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("int"))
+    order = ["doc_id", "start", "ids_crc32"]
+    every = every.withColumn("shard", F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int"))
+    unit = F.ceil(F.col("length") / F.lit(UNIT)).cast("int").alias("unit")
+
+    long = every.where(F.col("length") >= capacity // SHORT).select("*", unit)
+    short = every.where(F.col("length") < capacity // SHORT)
+    earlier = Window.partitionBy("shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    short = short.withColumn("run", F.coalesce(F.sum("length").over(earlier), F.lit(0)))
+    short = short.withColumn("bundle", F.expr(f"run div {max(1, capacity // BUNDLE)}"))
+    bundles = short.groupBy("shard", "bundle").agg(F.sum("length").alias("length"))
+    bundles = stored(bundles, "bundles").select("*", unit)
+
+    counts = np.zeros((2, -(-capacity // UNIT) + 1), np.int64)
+    for i, table in enumerate((long, bundles)):
+        for found, n in table.groupBy("unit").count().collect():  # one row a class
+            counts[i, found] = n
+    plan = Plan(counts.sum(0))
+    singles = _placed(long, order, plan, np.zeros_like(counts[0]))
+    packed = _placed(bundles, ["bundle"], plan, counts[0]).select("shard", "bundle", "sequence_id", "slot")
+    members = short.join(packed, ["shard", "bundle"])
+
+    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
+    kept = [c for c in out if c != "offset"]
+    placed = singles.select(*kept, "slot", F.lit(0).cast("long").alias("run")).union(members.select(*kept, "slot", "run"))
+    before = Window.partitionBy("sequence_id").orderBy("slot", "run").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(*out)
+
+
+def _placed(items: DataFrame, order: list[str], plan: Plan, first: np.ndarray) -> DataFrame:
+    """Add ``sequence_id, slot`` to items with ``unit, shard``, ranked in their class from ``first`` on."""
     before = Window.partitionBy("unit").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        every.groupBy("unit", "shard")
+        items.groupBy("unit", "shard")
         .agg(F.count("*").alias("n"))
         .select("unit", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     )
-    own = Window.partitionBy("unit", "shard").orderBy("doc_id", "start", "ids_crc32")
+    own = Window.partitionBy("unit", "shard").orderBy(*order)
     ranked = (
-        every.withColumn("rank", F.row_number().over(own).cast("long") - 1)
+        items.withColumn("rank", F.row_number().over(own).cast("long") - 1)
         .join(offsets, ["unit", "shard"])
         .withColumn("rank", F.col("rank") + F.col("before"))
-        .drop("shard", "before")
+        .drop("before")
     )
     schema = StructType([*ranked.schema.fields, *StructType.fromDDL("sequence_id long, slot long").fields])
     unit_at, rank_at = ranked.columns.index("unit"), ranked.columns.index("rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sequence, slot = plan.place(b.column(unit_at).to_numpy(), b.column(rank_at).to_numpy())
+            unit = b.column(unit_at).to_numpy()
+            sequence, slot = plan.place(unit, b.column(rank_at).to_numpy() + first[unit])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sequence), pa.array(slot)], names=schema.names)
 
-    earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
-    placed = ranked.mapInArrow(run, schema)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).select(*out)
+    return ranked.mapInArrow(run, schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from daywatch.llm import packing
@@ -12,6 +15,7 @@ SCHEMA = "doc_id long, text string, start string, unit int"
 TEXTS = [
     "Hello, World! it's 2024\nÀ la carte", None, "", " \t\n", "é ́x ÀÉ İstanbul ΣΑΣ", "<|endoftext|> a<|startoftext|>b", "中文 テスト 😀😀",
     "word " * 9000, "don't I'LL 'tis x y z \x1c \x85", "a" * 30_000, "one two three", "one two three",
+    "YENİ. क़. şarkıİ, ΣΑΣ. é́, ﬁ.",
 ]
 
 
@@ -70,6 +74,44 @@ def test_plan_places_every_piece_once_with_little_padding(seed):
     assert plan.sequences <= 1.01 * lengths.sum() / 64 + 64
 
 
+@pytest.mark.parametrize("words", [0, 1, 6, 30, 200, 700])
+def test_short_texts_are_packed_with_little_padding(spark, words):
+    docs = spark.range(12_000).select("id", F.concat(F.repeat(F.lit("word "), F.lit(words)), F.lit("no")).alias("text"))
+    docs = docs.select(F.col("id").alias("doc_id"), F.when(F.lit(words > 0), F.col("text")).alias("text"))
+    got = packing.pack(docs, PATH, 2)
+    row = got.agg(F.sum("length"), F.countDistinct("sequence_id"), F.count("*")).first()
+    assert row[2] == 12_000 and row[0] == 12_000 * (words + 2 if words else 1)
+    best = -(-12_000 // (4096 // (words + 2))) if words else 3
+    assert row[1] <= max(1.02 * row[0] / 4096, best) + 40
+
+
+@pytest.mark.parametrize("first", range(0, 0x30000, 0x8000))
+def test_every_letter_and_mark_before_a_stop_or_comma(first):
+    """Alone, and within a text: what a letter becomes in normal form decides what it is one token with."""
+    library, own = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    kinds = ("L", "M")
+    found = [chr(c) for c in range(first, first + 0x8000) if unicodedata.category(chr(c))[0] in kinds]
+    texts = [x for c in found for x in (f"{c}.", f"{c},", f"ab{c}.", f"x {c}y, {c}. z")] or [""]
+    ids, sizes = own.encode(pa.array(texts))
+    ends = np.cumsum(sizes)
+    wanted = library.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [t for t, w, a, b in zip(texts, wanted, ends - sizes, ends) if w.ids != ids[a:b].tolist()]
+    assert not wrong
+
+
+def test_kept_words_are_few_and_right(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 40)
+    library, own = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice(list("abcé1."), 3)) for _ in range(20)) for _ in range(5)] + [None]
+        ids, sizes = own.encode(pa.array(texts))
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert len(own.letters.keys) < 200
+    assert own.encode(pa.array([], pa.string()))[0].tolist() == []
+
+
 def test_linear_program_reaches_its_bound():
     counts = np.zeros(11, np.int64)
     counts[[7, 5, 3]] = [30, 40, 50]
