@@ -237,8 +237,10 @@ def dedup(
     found = stored(suspects(docs.select(owner.alias("owner"), text.alias("text")), min_chars), "line_suspects")
     held = found.select("digest", "id").distinct().groupBy("digest")
     repeated = held.agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    # Stored, so that it is broadcast if it is small, and a digest that very many documents hold is split if it isn't.
+    repeated = stored(repeated.select("digest", "keeper"), "line_keepers")
     losses = (
-        found.join(repeated.select("digest", "keeper"), "digest")
+        found.join(repeated, "digest")
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
         # What one text loses: no more than its lines.
         .groupBy("id", "version")
