@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from daywatch.llm import bpe, exact, licenses, lm, manifest, packing, quality, simhash, substring, url_filters, warc, whitening
 from daywatch.llm import check_sql as sql
 from daywatch.llm import lines as line_dedup
-from daywatch.llm.text import ascii_lower, stored
+from daywatch.llm.text import ascii_lower
 from daywatch.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,9 +137,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-likelihood of every document under a network trained on all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = stored(lm.word_counts(docs, "text"), "words")
-    known, values = lm.train(docs, counts=counts)
-    return lm.score(docs, known, values, counts=counts, keep_text=False)
+    return lm.score(docs, lm.train(docs), keep_text=False)
 
 
 @query("op11_line_dedup", sql.LINE_DEDUP)
