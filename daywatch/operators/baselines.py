@@ -136,18 +136,25 @@ def _centred_sums(member: DataFrame, values: list[str]) -> DataFrame:
     return extremes.join(sums, keys)
 
 
-def _centred_score(x: str, k: int) -> tuple[str, str, str]:
-    """Distance of a double from the others' mean, the others' sum of squares, and whether they differ."""
-    n, far, own = f"(_dn[{k}] - 1)", f"(_far[{k}] - _centre[{k}])", f"({x} - _centre[{k}])"
-    is_far = f"{x} = _far[{k}]"
-    times = f"(_n_far[{k}] - IF({is_far}, 1, 0))"
-    total = f"(_d[{k}] - IF({is_far}, 0D, {own}) + {times} * {far})"
-    squares = f"(_dd[{k}] - IF({is_far}, 0D, {own} * {own}) + {times} * {far} * {far})"
-    # The others are all equal where this value is the only one of its kind and the rest are at
-    # the other end, or where all values are equal: counts say so exactly.
-    alone = f"({x} = _least[{k}] AND _n_least[{k}] = 1 AND _n_most[{k}] = {n} OR {x} = _most[{k}] AND _n_most[{k}] = 1 AND _n_least[{k}] = {n})"
-    differ = f"NOT ({alone} OR _least[{k}] = _most[{k}])"
-    return f"({own} - {total} / {n})", f"({squares} - {total} * {total} / {n})", differ
+def _centred_scores(values: list[str]) -> str:
+    """Scores of all doubles, on member rows joined with ``_centred_sums``: one expression over arrays,
+    however many they are."""
+    x, times = "v[i]", "(_n_far[i] - IF(v[i] = _far[i], 1, 0))"
+    others, reach = "(_dn[i] - 1)", "(_far[i] - _centre[i])"
+    own = "IF(v[i] = _far[i], 0D, v[i] - _centre[i])"
+    total = f"(_d[i] - {own} + {times} * {reach})"
+    squares = f"(_dd[i] - {own} * {own} + {times} * {reach} * {reach})"
+    # The others are all equal where all values are, or where this one is the only one of its
+    # kind and the rest are at the other end: counts say so exactly.
+    alone = (
+        f"{x} = _least[i] AND _n_least[i] = 1 AND _n_most[i] = {others}"
+        f" OR {x} = _most[i] AND _n_most[i] = 1 AND _n_least[i] = {others}"
+    )
+    scored = f"{x} IS NOT NULL AND {others} >= 2 AND NOT (_least[i] = _most[i] OR {alone})"
+    spread = f"({squares} - {total} * {total} / {others}) / ({others} - 1)"
+    z = clipped(f"({x} - _centre[i] - {total} / {others}) / sqrt({spread})")
+    each = f"v -> transform(sequence(0, {len(values) - 1}), i -> CASE WHEN {scored} THEN {z} ELSE 0D END)"
+    return f"transform(array(array({', '.join(values)})), {each})[0]"
 
 
 def with_peer_scores(
@@ -190,23 +197,23 @@ def with_peer_scores(
     added: list[str] = []
     if user_profiles is not None:
         member, added = with_profiles(member, user_profiles), fixed.PROFILE_COLUMNS
+    for sums in groups:
+        member = member.join(sums, keys)
+    if doubles:
+        member = member.withColumn("_double_z", F.expr(_centred_scores([value[f] for f in doubles])))
     z = []
     for f, x in value.items():
-        if f in whole:
-            k = whole.index(f)
-            n = f"(_n[{k}] - 1)"
-            total, squares = f"(_t[{k}] - {x})", f"(_q[{k}] - {x} * {x})"
-            spread = f"CAST({n} * {squares} - {total} * {total} AS DOUBLE) / {n}"
-            off = f"CAST({x} * {n} - {total} AS DOUBLE) / {n}"
-            differ = f"{n} * {squares} > {total} * {total}"
-        else:
-            k = doubles.index(f)
-            n = f"(_dn[{k}] - 1)"
-            off, spread, differ = _centred_score(x, k)
+        if f in doubles:
+            z.append(f"_double_z[{doubles.index(f)}]")
+            continue
+        k = whole.index(f)
+        n = f"(_n[{k}] - 1)"
+        total, squares = f"(_t[{k}] - {x})", f"(_q[{k}] - {x} * {x})"
+        spread = f"CAST({n} * {squares} - {total} * {total} AS DOUBLE) / {n}"
+        off = f"CAST({x} * {n} - {total} AS DOUBLE) / {n}"
         score = clipped(f"{off} / sqrt({spread} / ({n} - 1))")
-        z.append(f"CASE WHEN {x} IS NOT NULL AND {n} >= 2 THEN CASE WHEN {differ} THEN {score} ELSE 0D END ELSE 0D END")
-    for sums in groups:
-        member = member.join(sums, keys)
+        usable = f"CASE WHEN {n} * {squares} > {total} * {total} THEN {score} ELSE 0D END"
+        z.append(f"CASE WHEN {x} IS NOT NULL AND {n} >= 2 THEN {usable} ELSE 0D END")
     return member.select(*df.columns, *added, _array(z).alias("_peer_z"))
 
 

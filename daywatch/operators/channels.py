@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from daywatch import fixed
 from daywatch.functions import cleaning
+from daywatch.sources.sinks import stored
 
 KEYS = ["user", "pc", "day"]
 ENTROPY_FLOOR = 1e-10
@@ -113,14 +114,20 @@ def _event_flags(channel: str, internal_domain: str) -> tuple[dict[str, Column],
 
 
 def tagged_events(
-    logs: Mapping[str, DataFrame], internal_domain: str = fixed.INTERNAL_EMAIL_DOMAIN
+    logs: Mapping[str, DataFrame],
+    internal_domain: str = fixed.INTERNAL_EMAIL_DOMAIN,
+    without_machine: bool = False,
 ) -> DataFrame:
-    """Normalised logs as one frame: key, channel, time of day, counted flags and distinct-count item."""
+    """Normalised logs as one frame: key, channel, time of day, counted flags and distinct-count item.
+
+    Events without a user go, and those without a machine too unless ``without_machine``.
+    """
     parts = []
     for channel, log in logs.items():
         flags, item = _event_flags(channel, internal_domain)
+        usable = F.col("user").isNotNull()
         parts.append(
-            log.where(F.col("user").isNotNull() & F.col("pc").isNotNull()).select(
+            log.where(usable if without_machine else usable & F.col("pc").isNotNull()).select(
                 *KEYS,
                 F.lit(channel).alias("channel"),
                 cleaning.micros_of_day(F.col("timestamp")).alias("at"),
@@ -138,21 +145,67 @@ def slot_minutes(gap_minutes: int) -> int:
     return max(width for width in (1, 2, 3, 4, 5, 6, 10, 12, 15, 20, 30, 60) if width <= gap_minutes)
 
 
+def _counted(table: DataFrame) -> list[str]:
+    return [name for spec in CHANNELS.values() for name in spec.counts if name in table.columns]
+
+
 def time_slots(
     events: DataFrame, keys: list[str] = KEYS, gap_minutes: int = fixed.RUN_GAP_MINUTES
 ) -> DataFrame:
     """Partial sums per (key, channel, slot) with the first and last time in the slot."""
     width = slot_minutes(gap_minutes)
-    counted = [name for spec in CHANNELS.values() for name in spec.counts if name in events.columns]
     slot = F.floor(F.col("at") / (width * 60_000_000)).cast("int")
     return events.groupBy(*keys, "channel", slot.alias("slot")).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("at").alias("first_at"),
         F.max("at").alias("last_at"),
-        *[F.sum(name).alias(name) for name in counted],
+        *[F.sum(name).alias(name) for name in _counted(events)],
     ).withColumn("hour", F.floor(F.col("slot") * width / 60).cast("int"))
 
 
+def activity_table(
+    logs: Mapping[str, DataFrame],
+    internal_domain: str = fixed.INTERNAL_EMAIL_DOMAIN,
+    gap_minutes: int = fixed.RUN_GAP_MINUTES,
+) -> DataFrame:
+    """All that the daily features, distinct counts and schedules need, from one scan of each log.
+
+    One row per (user, pc, day, channel, slot, item), summed in the tasks first. Store it: what
+    is derived from it (``slots_of``, ``items_of``, ``schedules_from``) then never reads a log again.
+    """
+    events = tagged_events(logs, internal_domain, without_machine=True)
+    return time_slots(events, [*KEYS, "item"], gap_minutes)
+
+
+def slots_of(activity: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The rows of ``time_slots``, from a stored ``activity_table``."""
+    return (
+        activity.where(F.col("pc").isNotNull())
+        .groupBy(*keys, "channel", "slot", "hour")
+        .agg(
+            F.sum("n").alias("n"),
+            F.min("first_at").alias("first_at"),
+            F.max("last_at").alias("last_at"),
+            *[F.sum(name).alias(name) for name in _counted(activity)],
+        )
+    )
+
+
+def items_of(activity: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The rows of ``distinct_items``, from a stored ``activity_table``."""
+    return distinct_items(activity.where(F.col("pc").isNotNull()), keys)
+
+
+def schedules_from(
+    activity: DataFrame, min_days: int = 30, default_hours: tuple[int, int] = fixed.WORK_HOURS
+) -> DataFrame:
+    """``work_schedules``, from a stored ``activity_table``."""
+    hourly = (
+        activity.where("logon_count > 0").groupBy("user", "day", "hour").agg(F.sum("logon_count").alias("n"))
+    )
+    return _schedules(hourly, min_days, default_hours)
+
+
 def hour_and_run_measures(
     slots: DataFrame, keys: list[str], gap_minutes: int = fixed.RUN_GAP_MINUTES
 ) -> DataFrame:
@@ -254,16 +307,34 @@ def channel_daily(
     gap_minutes: int = fixed.RUN_GAP_MINUTES,
     internal_domain: str = fixed.INTERNAL_EMAIL_DOMAIN,
 ) -> DataFrame:
-    """Daily features of one or more channels, aligned on the key; a channel without events reads 0."""
-    events = tagged_events(logs, internal_domain)
+    """Daily features of one or more channels, aligned on the key; a channel without events reads 0.
+
+    Logs with distinct counts are reduced to their ``activity_table``, stored, first.
+    """
     channels = list(logs)
-    daily = daily_from_slots(
-        time_slots(events, keys, gap_minutes), channels, keys, schedules, default_hours, gap_minutes
-    )
+    if any(CHANNELS[name].distinct for name in channels):
+        activity = activity_table(logs, internal_domain, gap_minutes)
+        activity = stored(activity.sparkSession, activity, "activity")
+        return daily_from_activity(activity, channels, keys, schedules, default_hours, gap_minutes)
+    slots = time_slots(tagged_events(logs, internal_domain), keys, gap_minutes)
+    return daily_from_slots(slots, channels, keys, schedules, default_hours, gap_minutes)
+
+
+def daily_from_activity(
+    activity: DataFrame,
+    channels: list[str],
+    keys: list[str] = KEYS,
+    schedules: DataFrame | None = None,
+    default_hours: tuple[int, int] = fixed.WORK_HOURS,
+    gap_minutes: int = fixed.RUN_GAP_MINUTES,
+) -> DataFrame:
+    """``channel_daily`` from a stored ``activity_table`` of at least these channels."""
+    rows = activity.where(F.col("channel").isin(channels))
+    daily = daily_from_slots(slots_of(rows, keys), channels, keys, schedules, default_hours, gap_minutes)
     distinct = [CHANNELS[name].distinct for name in channels if CHANNELS[name].distinct]
     if not distinct:
         return daily
-    counted = distinct_counts(distinct_items(events, keys), keys).select(*keys, *distinct)
+    counted = distinct_counts(items_of(rows, keys), keys).select(*keys, *distinct)
     return daily.join(counted, keys, "left").fillna(0, distinct)
 
 
@@ -311,6 +382,16 @@ def work_schedules(
         .groupBy("user", "day", F.hour("timestamp").alias("hour"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return _schedules(hourly, min_days, default_hours, low, high)
+
+
+def _schedules(
+    hourly: DataFrame,
+    min_days: int,
+    default_hours: tuple[int, int],
+    low: float = 0.10,
+    high: float = 0.90,
+) -> DataFrame:
     per_day = hourly.groupBy("user").agg(
         F.count_distinct("day").alias("days"),
         F.percentile("hour", F.array(F.lit(low), F.lit(high)), F.col("n")).alias("p"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,18 +11,18 @@ from daywatch.operators import channels as ch
 
 
 def aligned_channels(
-    logs: Mapping[str, DataFrame],
+    activity: DataFrame,
+    channels: list[str],
     schedules: DataFrame | None = None,
     default_hours: tuple[int, int] = fixed.WORK_HOURS,
     truncate: bool = True,
-    internal_domain: str = fixed.INTERNAL_EMAIL_DOMAIN,
 ) -> DataFrame:
-    """One row per (user, pc, day) with the features of all channels.
+    """One row per (user, pc, day) with the features of all channels, from a stored activity table.
 
     ``truncate`` keeps the published behaviour of storing entropies and run
     minutes as whole numbers.
     """
-    daily = ch.channel_daily(logs, schedules=schedules, default_hours=default_hours, internal_domain=internal_domain)
+    daily = ch.daily_from_activity(activity, channels, schedules=schedules, default_hours=default_hours)
     if not truncate:
         return daily
     features = [c for c in daily.columns if c not in ch.KEYS]

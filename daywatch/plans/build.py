@@ -28,36 +28,41 @@ class BuildSettings:
     truncate: bool = True
 
 
-def schedules_of(logs: Mapping[str, DataFrame], settings: BuildSettings) -> DataFrame | None:
+def activity(
+    spark: SparkSession, logs: Mapping[str, DataFrame], settings: BuildSettings = BuildSettings(), path: str | None = None
+) -> DataFrame:
+    """The stored activity table of all logs: the only step of the build that reads them."""
+    table = ch.activity_table(logs, settings.internal_domain)
+    if path is None:
+        return sinks.stored(spark, table, "activity")
+    sinks.write_table(table, path)
+    return spark.read.parquet(path)
+
+
+def schedules_of(table: DataFrame, settings: BuildSettings) -> DataFrame | None:
+    """Personal work hours from the activity table, if the settings want them."""
     if not settings.personal_schedules:
         return None
-    return ch.work_schedules(logs["logon"], settings.schedule_min_days, settings.default_hours)
+    return ch.schedules_from(table, settings.schedule_min_days, settings.default_hours)
 
 
 def machine_day_table(
     spark: SparkSession,
-    logs: Mapping[str, DataFrame],
+    table: DataFrame,
     settings: BuildSettings = BuildSettings(),
     schedules: DataFrame | None = None,
+    channels: list[str] = list(ch.CHANNELS),  # noqa: B006
 ) -> DataFrame:
-    """(user, pc, day) features from normalised logs.
+    """(user, pc, day) features from a stored activity table.
 
     The aligned channel features are stored first: the machine history reads them
-    three times, each time only the key columns, and must not rescan the logs.
+    three times, each time only the key columns.
     """
-    schedules = schedules if schedules is not None else schedules_of(logs, settings)
-    daily = layers.aligned_channels(
-        logs, schedules, settings.default_hours, settings.truncate, settings.internal_domain
-    )
+    schedules = schedules if schedules is not None else schedules_of(table, settings)
+    daily = layers.aligned_channels(table, channels, schedules, settings.default_hours, settings.truncate)
     return machine_history(sinks.stored(spark, daily, "aligned"), settings.machine_min_history)
 
 
-def item_table(logs: Mapping[str, DataFrame], settings: BuildSettings = BuildSettings()) -> DataFrame:
-    """Distinct files, recipients and domains per (user, pc, day)."""
-    with_items = {name: log for name, log in logs.items() if ch.CHANNELS[name].distinct}
-    return ch.distinct_items(ch.tagged_events(with_items, settings.internal_domain))
-
-
 def collapsed_user_days(machine_day: DataFrame, items: DataFrame | None) -> DataFrame:
     distinct = ch.distinct_counts(items, ["user", "day"]) if items is not None else None
     return layers.collapse_to_user_days(machine_day, distinct)
@@ -98,22 +103,25 @@ def build_tables(
 ) -> dict[str, str]:
     """Store every table of the build below ``out_dir`` and return the paths.
 
-    The machine-day table, the distinct items and the user-day table are written
-    and read back, so a lost executor never recomputes more than one stage.
+    Each raw log is read once, into the activity table; schedules, machine-days and distinct
+    items come from there. All of them and the user-day table are written and read back, so a
+    lost executor never recomputes more than one stage.
     """
     paths = {
         name: f"{out_dir}/{name}"
         for name in (
-            "schedules", "machine_days", "items", "user_days", "train", "calibration",
+            "activity", "schedules", "machine_days", "items", "user_days", "train", "calibration",
             "calibration_clean", "test_stream", "peer_baselines",
         )
     }
-    schedules = schedules_of(logs, settings)
+    table = activity(spark, logs, settings, paths["activity"])
+    schedules = schedules_of(table, settings)
     if schedules is not None:
         sinks.write_table(schedules, paths["schedules"])
         schedules = spark.read.parquet(paths["schedules"])
-    sinks.write_table(machine_day_table(spark, logs, settings, schedules), paths["machine_days"])
-    sinks.save_items(item_table(logs, settings), paths["items"])
+    machine_days = machine_day_table(spark, table, settings, schedules, [c for c in ch.CHANNELS if c in logs])
+    sinks.write_table(machine_days, paths["machine_days"])
+    sinks.save_items(ch.items_of(table), paths["items"])
     machine_day, items = spark.read.parquet(paths["machine_days"]), sinks.load_items(spark, paths["items"])
     collapsed = sinks.stored(spark, collapsed_user_days(machine_day, items), "collapsed")
     sinks.write_table(enriched_user_days(collapsed, directory, settings), paths["user_days"])

@@ -154,13 +154,14 @@ FLAG_SQL = {
 
 
 def machine_days_of(spark, sf_dir):
-    return build.machine_day_table(spark, sv.activity_logs(spark, sf_dir), SETTINGS)
+    activity = build.activity(spark, sv.activity_logs(spark, sf_dir), SETTINGS)
+    return build.machine_day_table(spark, activity, SETTINGS)
 
 
 def collapsed_of(spark, sf_dir):
-    logs = sv.activity_logs(spark, sf_dir)
-    distinct = ch.distinct_counts(build.item_table(logs, SETTINGS), ["user", "day"])
-    return layers.collapse_to_user_days(build.machine_day_table(spark, logs, SETTINGS), distinct)
+    activity = build.activity(spark, sv.activity_logs(spark, sf_dir), SETTINGS)
+    distinct = ch.distinct_counts(ch.items_of(activity), ["user", "day"])
+    return layers.collapse_to_user_days(build.machine_day_table(spark, activity, SETTINGS), distinct)
 
 
 # --- machines and layers ------------------------------------------------------------
@@ -287,7 +288,7 @@ def zscore_large_values(spark, sf_dir):
 #: Columns of one query: level, and what is added to it. Eighths are exact in a double at each level.
 _PEER_LEVELS = {
     **{f"high_e{e}": (10**e, "n / 8.0") for e in (2, 5, 7, 9, 11)},
-    **{f"coarse_e{e}": (10**e, "floor(n / 40.0) * 0.125") for e in (2, 5, 7, 9, 11)},
+    **{f"coarse_e{e}": (10**e, "floor(n / 4.0) * 0.125") for e in (2, 5, 7, 9, 11)},
 }
 
 

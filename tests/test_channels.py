@@ -141,3 +141,45 @@ def test_hot_machine_day_shrinks_to_slots_and_keeps_every_event(spark):
     hot = [t for t, user, *_ in rows if user == "hot"]
     assert daily["hot", START.date()]["usb_insert_count"] == 2000
     assert math.isclose(daily["hot", START.date()]["device_longest_active_run_minutes"], brute_run(hot, 30))
+
+
+def test_the_activity_table_gives_what_the_logs_give(spark):
+    rng = __import__("random").Random(7)
+    rows = [
+        (START + timedelta(seconds=rng.randrange(3 * 86_400)), rng.choice(["u", "v", None]), rng.choice(["p", "q", None]), rng.choice(["Logon", "Logoff"]), rng.choice(["a", "b", None]))
+        for _ in range(400)
+    ]
+    logs = {
+        "logon": log(spark, [r[:4] for r in rows], "user string, pc string, activity string"),
+        "file": log(spark, [(*r[:3], "File Open", r[4]) for r in rows[:200]], "user string, pc string, activity string, filename string"),
+    }
+    activity = ch.activity_table(logs).cache()
+    same = lambda a, b: sorted(map(repr, a.select(b.columns).collect())) == sorted(map(repr, b.collect()))
+    events = ch.tagged_events(logs)
+    assert same(ch.slots_of(activity), ch.time_slots(events))
+    assert same(ch.items_of(activity), ch.distinct_items(events))
+    assert same(ch.schedules_from(activity, 2), ch.work_schedules(logs["logon"], 2))
+
+
+def test_the_build_reads_each_log_once(spark, tmp_path):
+    """Only the activity table's plan has the raw files in it, each once."""
+    from daywatch.plans import build
+    from daywatch.sources import logs as log_sources
+
+    texts = {
+        "logon": "activity\n1,01/02/2010 07:00:00,a,p,Logon", "device": "activity\n1,01/02/2010 07:00:00,a,p,Connect",
+        "file": "filename,activity\n1,01/02/2010 07:00:00,a,p,f,File Open", "email": "to,attachments\n1,01/02/2010 07:00:00,a,p,x@y.org,",
+        "http": "url,activity\n1,01/02/2010 07:00:00,a,p,http://x.org/,WWW Visit",
+    }
+    for name, rest in texts.items():
+        (tmp_path / f"{name}.csv").write_text("id,date,user,pc," + rest + "\n")
+    logs = log_sources.read_logs(spark, str(tmp_path))
+    raw = ch.activity_table(logs)
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 5
+    table = build.activity(spark, logs)
+    machine_days = build.machine_day_table(spark, table, build.BuildSettings())
+    for df in (machine_days, ch.items_of(table), build.schedules_of(table, build.BuildSettings())):
+        assert not [f for f in df.inputFiles() if f.endswith(".csv")]
+    row = machine_days.first()
+    assert row["logon_count"] == row["unique_files_accessed"] == row["unique_recipients"] == row["unique_domains_visited"] == 1
