@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from daywatch import fixed
 from daywatch.functions import bands, naming
-from daywatch.operators.ranking import percentile_ranks
+from daywatch.operators.ranking import RankIndex, percentile_ranks
 from daywatch.sources.sinks import stored
 
 Ceilings = dict[str, float | Column | None]
@@ -58,8 +58,8 @@ def explanation(z: Column, delta: Column) -> Column:
 
 def alert_table(
     scored: DataFrame,
-    ae_baseline: DataFrame,
-    if_baseline: DataFrame,
+    ae_baseline: DataFrame | RankIndex,
+    if_baseline: DataFrame | RankIndex,
     ae_ceilings: Ceilings | None = None,
     if_ceilings: Ceilings | None = None,
     thresholds: dict[str, float] | None = None,
@@ -70,8 +70,8 @@ def alert_table(
     """Alerts from rows with ``total_reconstruction_error``, ``if_anomaly_score``, a
     ``contributions`` map and optional ``zscores`` / ``deltas`` maps.
 
-    Signals are ranked against their baselines (same column names) and banded by
-    calibrated ceilings when given, else by percentile; the composite always by
+    Signals are ranked against their baselines (rows with the same column names, or stored
+    indexes of them) and banded by calibrated ceilings when given, else by percentile; the composite always by
     percentile.
     """
     bands.check_weights(w1, w2)

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daywatch.session import shared_dir, shuffle_width
+from daywatch.sources import versions
+from daywatch.sources.sinks import stored
 
 
 def prefix_scan(
@@ -41,29 +50,127 @@ def prefix_scan(
 
 
 def percentile_ranks(
-    values: DataFrame, columns: dict[str, tuple[str, DataFrame, str]]
+    values: DataFrame, columns: dict[str, tuple[str, DataFrame | RankIndex, str]]
 ) -> DataFrame:
     """Adds percentile ranks 0-100: the share of a baseline strictly below each value.
 
-    ``columns`` maps an output name to (value column, baseline, baseline column).
-    Values and baseline reduce to distinct scores before the scan, so ties, however
-    many, are one row.
+    ``columns`` maps an output name to (value column, baseline, baseline column); a baseline is
+    rows or a stored ``RankIndex`` of them. Rows are indexed once, here; the values are then looked
+    up, not sorted.
     """
     out = values
     for name, (value, baseline, base) in columns.items():
-        known = baseline.where(F.col(base).isNotNull())
-        stacked = values.select(F.col(value).alias("_v"), F.lit(0).alias("_b")).unionByName(
-            known.select(F.col(base).alias("_v"), F.lit(1).alias("_b"))
-        )
-        distinct = stacked.where(F.col("_v").isNotNull()).groupBy("_v").agg(F.sum("_b").alias("_b"))
-        size = known.agg(F.count(F.lit(1))).scalar()
-        ranks = prefix_scan(distinct, ["_v"], ["_b"]).select(
-            F.col("_v").alias(value), F.try_divide(F.col("_b_before"), size).alias("_share")
-        )
-        out = out.join(ranks, value, "left").withColumn(name, F.col("_share") * 100.0).drop("_share")
+        index = baseline if isinstance(baseline, RankIndex) else build_index(baseline, base)
+        out = index.ranked(out, value, name)
     return out
 
 
+#: Entries of a rank index that every task may hold, 16 bytes each; a larger one is joined by page.
+HELD_ENTRIES = 1_000_000
+#: Pages of a rank index at most, and entries of a page at least.
+PAGES, PAGE_ENTRIES = 65_536, 4096
+
+
+@dataclass(frozen=True)
+class RankIndex:
+    """A baseline's distinct scores with the rows below each, stored by page.
+
+    ``entries`` has ``score, n, below, page`` and rises by score from page to page; ``size`` rows are known.
+    """
+
+    entries: DataFrame
+    size: int
+    distinct: int
+
+    def ranked(self, values: DataFrame, value: str, name: str) -> DataFrame:
+        """Add the share of known rows strictly below each value, times 100; null for null or without rows.
+
+        An index of up to ``HELD_ENTRIES`` scores travels to the tasks, and rows stay where they are.
+        Of a larger one the distinct values meet their pages by a join, and their ranks the rows.
+        """
+        if not self.size:
+            return values.withColumn(name, F.lit(None).cast("double"))
+        if self.distinct <= HELD_ENTRIES:
+            held = self.entries.select("score", "below").toPandas().sort_values("score")
+            search = _search(values.sparkSession, held["score"].to_numpy(), np.append(held["below"].to_numpy(), self.size))
+            return values.withColumn(name, search(F.col(value).cast("double")) / F.lit(self.size) * 100.0)
+        shares = self._joined(values.select(F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL").distinct())
+        same = F.col(value).cast("double") == F.col("_v")
+        return values.join(shares, same, "left").withColumn(name, F.col("_below") / F.lit(self.size) * 100.0).drop("_v", "_below")
+
+    def _joined(self, distinct: DataFrame) -> DataFrame:
+        """``_v, _below`` of distinct values, found in their pages."""
+        lows = self.entries.groupBy("page").agg(F.min("score").alias("low")).toPandas().sort_values("page")
+        page_of = _search(distinct.sparkSession, lows["low"].to_numpy(), np.arange(len(lows) + 1))
+        # A value's page is the last that begins below it; of a value below all, the first.
+        placed = distinct.withColumn("_page", F.greatest(page_of(F.col("_v")) - 1, F.lit(0)))
+        size = self.size
+
+        def find(found: pa.Table, page: pa.Table) -> pa.Table:
+            if not found.num_rows:
+                return found.select(["_v"]).append_column("_below", pa.array([], pa.int64()))
+            scores, below, n = (page.column(c).to_numpy() for c in ("score", "below", "n"))
+            order = np.argsort(scores)
+            upto = np.append(below[order], below[order[-1]] + n[order[-1]] if len(order) else size)
+            at = np.searchsorted(scores[order], found.column("_v").to_numpy(), "left")
+            return found.select(["_v"]).append_column("_below", pa.array(upto[at], pa.int64()))
+
+        pages = self.entries.select(F.col("page").cast("long").alias("page"), "score", "below", "n")
+        return placed.groupBy("_page").cogroup(pages.groupBy("page")).applyInArrow(find, "_v double, _below long")
+
+
+def _search(spark: SparkSession, keys: np.ndarray, results: np.ndarray) -> Callable[[Column], Column]:
+    """A column function: the result at the number of keys below a value; null for null."""
+    held = spark.sparkContext.broadcast((keys.astype(float), results.astype(np.int64)))
+
+    @F.pandas_udf("long")
+    def search(value: pd.Series) -> pd.Series:
+        keys, results = held.value
+        found = pd.Series(results[np.searchsorted(keys, value.to_numpy(float), "left")], index=value.index, dtype="Int64")
+        # Of a double column a null arrives as not a number; one that is stays above all.
+        return found.mask(value.isna())
+
+    return lambda value: F.when(F.isnan(value), F.lit(int(results[-1]))).otherwise(search(value))
+
+
+def build_index(rows: DataFrame, column: str, root: str | None = None) -> RankIndex:
+    """The index of a column's values that are not null; stored as the next version of ``root``, if given."""
+    counts = (
+        rows.where(F.col(column).isNotNull())
+        .groupBy(F.col(column).cast("double").alias("score"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return _index_of(counts, root)
+
+
+def merge_indexes(indexes: list[RankIndex], root: str | None = None) -> RankIndex:
+    """The index of all rows of several: equal scores add up."""
+    stacked = reduce(lambda a, b: a.union(b), [i.entries.select("score", "n") for i in indexes])
+    return _index_of(stacked.groupBy("score").agg(F.sum("n").alias("n")), root)
+
+
+def _index_of(counts: DataFrame, root: str | None) -> RankIndex:
+    spark = counts.sparkSession
+    scanned = prefix_scan(counts.withColumn("_one", F.lit(1)), ["score"], ["n", "_one"])
+    per_page = max(PAGE_ENTRIES, -(-counts.count() // PAGES))
+    entries = scanned.select(
+        "score", "n", F.col("n_before").alias("below"), F.expr(f"CAST(_one_before div {per_page} AS INT)").alias("page")
+    )
+    if root is None:
+        return _index(stored(spark, entries, "ranks"))
+    return load_index(spark, root, versions.replace(entries, root))
+
+
+def load_index(spark: SparkSession, root: str, version: versions.Version | None = None) -> RankIndex:
+    """A stored index: its current version, or a given one."""
+    return _index(versions.read(spark, root, version))
+
+
+def _index(entries: DataFrame) -> RankIndex:
+    row = entries.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    return RankIndex(entries, row[0], row[1])
+
+
 def percentiles(
     df: DataFrame, value: str, percents: list[float], group: list[str] | None = None
 ) -> DataFrame:

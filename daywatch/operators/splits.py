@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,28 +30,44 @@ def chronological_split(df: DataFrame, ratio: float = 0.9) -> tuple[DataFrame, D
     return df.where(F.col("day") <= cutoff), df.where(F.col("day") > cutoff)
 
 
-def labelled_rows(df: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows inside any window of their user, bounds included; overlapping windows count once."""
-    return df.join(windows, _inside(df, windows), "left_semi")
-
-
-def unlabelled_rows(df: DataFrame, windows: DataFrame) -> DataFrame:
-    return df.join(windows, _inside(df, windows), "left_anti")
+def merged_windows(windows: DataFrame) -> DataFrame:
+    """Each user's windows without overlaps: ``user, start_day, end_day`` of runs of days covered.
 
-
-def _inside(df: DataFrame, windows: DataFrame) -> Column:
+    A sweep by start: a window opens a new run if it starts more than a day after everything before
+    it has ended. Windows that end before they start cover nothing.
+    """
+    usable = windows.where("start_day <= end_day").select("user", "start_day", "end_day")
+    in_order = Window.partitionBy("user").orderBy("start_day", "end_day")
+    reached = F.max("end_day").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = reached.isNull() | (F.col("start_day") > F.date_add(reached, 1))
+    run = F.sum(opens.cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = usable.withColumn("_reached", reached).withColumn("_run", run)
     return (
-        (df["user"] == windows["user"])
-        & (df["day"] >= windows["start_day"])
-        & (df["day"] <= windows["end_day"])
+        runs.groupBy("user", "_run").agg(F.min("start_day").alias("start_day"), F.max("end_day").alias("end_day")).drop("_run")
     )
 
 
 def with_label(df: DataFrame, windows: DataFrame) -> DataFrame:
-    """All rows with ``label`` 1 inside a window, else 0."""
-    return labelled_rows(df, windows).withColumn("label", F.lit(1)).unionByName(
-        unlabelled_rows(df, windows).withColumn("label", F.lit(0))
+    """All rows with ``label`` 1 inside a window of their user, bounds included, else 0.
+
+    Windows are merged first, so a row meets one at most and the rows are read and joined once.
+    """
+    merged = merged_windows(windows).select(
+        F.col("user").alias("_user"), F.col("start_day").alias("_start"), F.col("end_day").alias("_end")
     )
+    inside = (F.col("user") == F.col("_user")) & F.col("day").between(F.col("_start"), F.col("_end"))
+    return df.join(merged, inside, "left").select(
+        *[F.col(f"`{c}`") for c in df.columns], F.col("_user").isNotNull().cast("int").alias("label")
+    )
+
+
+def labelled_rows(df: DataFrame, windows: DataFrame) -> DataFrame:
+    """Rows inside any window of their user, bounds included; overlapping windows count once."""
+    return with_label(df, windows).where("label = 1").drop("label")
+
+
+def unlabelled_rows(df: DataFrame, windows: DataFrame) -> DataFrame:
+    return with_label(df, windows).where("label = 0").drop("label")
 
 
 def without_labelled_users(df: DataFrame, windows: DataFrame) -> DataFrame:

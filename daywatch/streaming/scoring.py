@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from daywatch.functions import bands
 from daywatch.operators.alerts import Ceilings
-from daywatch.operators.ranking import percentile_ranks
+from daywatch.operators.ranking import RankIndex, build_index, percentile_ranks
 
 TIME_COLUMNS = ["timestamp", "datetime", "date", "day"]
 
@@ -22,12 +22,12 @@ def row_source(spark, path: str, schema: StructType, files_per_trigger: int = 1)
 
 
 def live_records(
-    scored: DataFrame, baseline: DataFrame, passthrough: list[str], ceilings: Ceilings | None = None
+    scored: DataFrame, baseline: DataFrame | RankIndex, passthrough: list[str], ceilings: Ceilings | None = None
 ) -> DataFrame:
     """Scored rows as output records: identity, source time, rounded score and rank, band, raw features.
 
-    Calibrated ceilings decide the band when given, else the percentile. NaN
-    features become null.
+    ``baseline`` has the scores ranked against, as rows or as a stored index of them. Calibrated
+    ceilings decide the band when given, else the percentile. NaN features become null.
     """
     ranked = percentile_ranks(
         scored, {"if_percentile_rank": ("if_anomaly_score", baseline, "if_anomaly_score")}
@@ -58,7 +58,7 @@ def live_records(
 def score_stream(
     source: DataFrame,
     score: Callable[[DataFrame], DataFrame],
-    baseline: DataFrame,
+    baseline: DataFrame | RankIndex,
     out_path: str,
     checkpoint: str,
     passthrough: list[str] | None = None,
@@ -66,19 +66,16 @@ def score_stream(
 ) -> StreamingQuery:
     """Score every micro-batch and write its records as JSON until the source is drained.
 
-    ``score`` adds ``if_anomaly_score``. A batch overwrites its own folder, so a
-    batch that is retried after a failure leaves no duplicates. An empty stream
-    end needs no marker: the query terminates.
+    ``score`` adds ``if_anomaly_score``. The baseline is indexed once, before the stream begins; a
+    micro-batch looks its scores up there and neither sorts the baseline nor checkpoints. A batch
+    overwrites its own folder, so a batch that is retried after a failure leaves no duplicates.
+    ``mark_end`` leaves the record that tells readers of the folder that the stream is over.
     """
+    index = baseline if isinstance(baseline, RankIndex) else build_index(baseline, "if_anomaly_score")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # Ranking reads the scored rows more than once; a lost block is recomputed from the source files.
-        scored = score(batch).persist()
-        try:
-            records = live_records(scored, baseline, passthrough or [], ceilings)
-            records.write.mode("overwrite").json(f"{out_path}/batch={batch_id}")
-        finally:
-            scored.unpersist()
+        records = live_records(score(batch), index, passthrough or [], ceilings)
+        records.write.mode("overwrite").json(f"{out_path}/batch={batch_id}")
 
     return (
         source.writeStream.foreachBatch(write)
@@ -89,8 +86,20 @@ def score_stream(
 
 
 def mark_end(spark, out_path: str) -> None:
-    """The end-of-stream record, for readers that watch the output folder."""
-    spark.range(1).select(F.lit(True).alias("_eos")).coalesce(1).write.mode("overwrite").json(f"{out_path}/batch=end")
+    """The end-of-stream record, in a folder beside the batches, so that their numbers stay numbers."""
+    spark.range(1).select(F.lit(True).alias("_eos")).coalesce(1).write.mode("overwrite").json(f"{out_path}/_end")
+
+
+def ended(spark, out_path: str) -> bool:
+    """Whether the stream that writes to this folder has left its end-of-stream record."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{out_path}/_end/_SUCCESS")
+    return pattern.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pattern)
+
+
+def score_to_end(spark, out_path: str, query: StreamingQuery) -> None:
+    """Wait until the source is drained, then leave the end-of-stream record."""
+    query.awaitTermination()
+    mark_end(spark, out_path)
 
 
 def cold_start_notices(source: DataFrame, schedules: DataFrame) -> DataFrame:
