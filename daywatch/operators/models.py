@@ -7,16 +7,22 @@ tree table bounded by trees x (2 x sample - 1) nodes. None grows with the data.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from daywatch.operators import explain
+from daywatch.sources import versions
 
 EULER_GAMMA = 0.5772156649015329
 ANOMALY_SCORE = 0.5
@@ -58,9 +64,7 @@ def scaled(scaler: Scaler) -> Column:
 def fit_components(df: DataFrame, vectors: str, k: int) -> np.ndarray:
     """Principal directions of an array column, features x k, with a fixed sign."""
     rows = df.select(array_to_vector(F.col(vectors).cast("array<double>")).alias("v"))
-    weights = PCA(k=k, inputCol="v", outputCol="p").fit(rows).pc.toArray()
-    largest = weights[np.abs(weights).argmax(axis=0), np.arange(weights.shape[1])]
-    return weights * np.sign(np.where(largest == 0, 1.0, largest))
+    return signed(PCA(k=k, inputCol="v", outputCol="p").fit(rows).pc.toArray())
 
 
 def embed(vectors: Column, weights: np.ndarray, center: np.ndarray | None = None) -> Column:
@@ -89,6 +93,175 @@ def rebuild(embedding: Column, weights: np.ndarray) -> Column:
     return lift(embedding)
 
 
+class Reconstruction(Protocol):
+    """What a reconstruction model offers: an embedding of a scaled row, the way back, and its rows in storage.
+
+    Implementations are registered in ``RECONSTRUCTIONS`` under their ``kind``.
+    """
+
+    kind: str
+
+    def embed(self, vectors: Column) -> Column: ...
+
+    def rebuild(self, embedding: Column) -> Column: ...
+
+    def rows(self) -> list[list[float]]:
+        """The fitted numbers, a list of numbers a row."""
+
+    @classmethod
+    def of_rows(cls, rows: list[list[float]]) -> Reconstruction: ...
+
+
+@dataclass(frozen=True)
+class Components:
+    """Principal directions, features x k: the embedding is the projection on them."""
+
+    weights: np.ndarray
+    kind = "components"
+
+    def embed(self, vectors: Column) -> Column:
+        return embed(vectors, self.weights)
+
+    def rebuild(self, embedding: Column) -> Column:
+        return rebuild(embedding, self.weights)
+
+    def rows(self) -> list[list[float]]:
+        return self.weights.tolist()
+
+    @classmethod
+    def of_rows(cls, rows: list[list[float]]) -> Components:
+        return cls(np.array(rows, float))
+
+
+@dataclass(frozen=True)
+class Centres:
+    """Typical rows, k x features: the embedding has the distance to each, the nearest is the way back."""
+
+    points: np.ndarray
+    kind = "centres"
+
+    def embed(self, vectors: Column) -> Column:
+        points = self.points
+
+        @F.pandas_udf("array<double>")
+        def distances(batch: pd.Series) -> pd.Series:
+            if batch.empty:
+                return pd.Series([], dtype=object)
+            rows = np.vstack(batch.to_numpy())
+            squares = [((rows - p) ** 2).sum(1) for p in points]
+            return pd.Series(list(np.sqrt(np.stack(squares, 1))))
+
+        return distances(vectors)
+
+    def rebuild(self, embedding: Column) -> Column:
+        points = F.array(*[F.array(*map(F.lit, p)) for p in self.points.tolist()])
+        nearest = F.array_position(embedding, F.array_min(embedding)).cast("int")
+        return F.element_at(points, nearest)
+
+    def rows(self) -> list[list[float]]:
+        return self.points.tolist()
+
+    @classmethod
+    def of_rows(cls, rows: list[list[float]]) -> Centres:
+        return cls(np.array(rows, float))
+
+
+RECONSTRUCTIONS: dict[str, type] = {c.kind: c for c in (Components, Centres)}
+
+
+def fit_centres(df: DataFrame, vectors: str, k: int, seed: int = 42) -> Centres:
+    """Centres of an array column by k-means."""
+    rows = df.select(array_to_vector(F.col(vectors).cast("array<double>")).alias("features"))
+    return Centres(np.array(KMeans(k=k, seed=seed).fit(rows).clusterCenters()))
+
+
+# --- moments -------------------------------------------------------------------------------
+
+MOMENTS = "n long, mean array<double>, products array<double>"
+
+
+def moments(df: DataFrame, features: list[str], by: list[str]) -> DataFrame:
+    """Per group the count, means and summed products of distances from the means: ``*by, n, mean, products``.
+
+    Groups merge exactly as rows would have (``merged_moments``), so a table by day is kept up to date by adding days
+    and a model is refitted from it without the old rows. Tasks reduce their rows first. Missing and non-finite values are an error.
+    """
+    size = len(features)
+    schema = StructType([*[df.schema[c] for c in by], *StructType.fromDDL(MOMENTS).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array(b.column(len(by)).flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, size)
+            if not np.isfinite(x).all():
+                raise ValueError("moments are taken of rows without missing or non-finite features")
+            keys = pa.Table.from_batches([b]).select(by)
+            codes = keys.to_pandas().groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+            first, n, mean, products = [], [], [], []
+            for code in range(codes.max() + 1 if len(codes) else 0):
+                rows = np.nonzero(codes == code)[0]
+                centre = x[rows].mean(0)
+                off = x[rows] - centre
+                first.append(int(rows[0]))
+                n.append(len(rows))
+                mean.append(centre)
+                products.append((off.T @ off).ravel())
+            columns = [b.column(i).take(pa.array(first, pa.int64())) for i in range(len(by))]
+            columns += [pa.array(n, pa.int64()), pa.array(mean, pa.list_(pa.float64())), pa.array(products, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    values = F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(float("nan"))) for f in features])
+    return merged_moments(df.select(*by, values.alias("_x")).mapInArrow(run, schema), by)
+
+
+def merged_moments(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Moments of the rows of several groups together, per coarser group or, without ``by``, of all."""
+    by = by or []
+    schema = StructType([*[parts.schema[c] for c in by], *StructType.fromDDL(MOMENTS).fields])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total, mean, products = 0, None, None
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("n", "mean", "products"))))
+        for n, m, p in rows:
+            m, p = np.array(m), np.array(p)
+            if mean is None:
+                total, mean, products = n, m, p
+                continue
+            off = m - mean
+            products = products + p + np.outer(off, off).ravel() * (total * n / (total + n))
+            mean = mean + off * (n / (total + n))
+            total += n
+        out = [pa.array([total], pa.int64()), *(pa.array([a], pa.list_(pa.float64())) for a in (mean, products))]
+        return pa.Table.from_arrays([*[table.column(c).slice(0, 1) for c in by], *out], names=schema.names)
+
+    if by:
+        # Parts of a group meet in a few tasks first.
+        salted = parts.withColumn("_salt", F.pmod(F.xxhash64("n", "mean"), F.lit(16)))
+        half = StructType([*schema.fields])
+        first = salted.groupBy(*by, "_salt").applyInArrow(lambda t: merge(t.drop_columns(["_salt"])), half)
+        return first.groupBy(*by).applyInArrow(merge, schema)
+    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("n", "mean"), F.lit(16)))
+    first = salted.groupBy("_salt").applyInArrow(lambda t: merge(t.drop_columns(["_salt"])), schema)
+    return first.groupBy().applyInArrow(merge, schema)
+
+
+def fit_from_moments(parts: DataFrame, features: list[str], k: int) -> tuple[Scaler, Components]:
+    """Scaler and components of all rows behind a moment table: those of a fit on the rows themselves."""
+    row = merged_moments(parts.select("n", "mean", "products")).first()
+    size = len(features)
+    covariance = np.array(row["products"]).reshape(size, size) / row["n"]
+    std = np.sqrt(np.diagonal(covariance))
+    std = np.where(std > 0, std, 1.0)
+    values, vectors = np.linalg.eigh(covariance / np.outer(std, std))
+    weights = vectors[:, np.argsort(-values, kind="stable")[: min(k, size)]]
+    return Scaler(features, list(row["mean"]), std.tolist()), Components(signed(weights))
+
+
+def signed(weights: np.ndarray) -> np.ndarray:
+    """Directions turned so that the largest entry of each is positive."""
+    largest = weights[np.abs(weights).argmax(axis=0), np.arange(weights.shape[1])]
+    return weights * np.sign(np.where(largest == 0, 1.0, largest))
+
+
 def projection(df: DataFrame, vectors: str, k: int = 2) -> DataFrame:
     """Centred principal components of an array column as ``p1`` .. ``pk``."""
     size = df.select(F.size(vectors)).first()[0]
@@ -224,19 +397,30 @@ def anomaly_label(score: Column) -> Column:
 @dataclass(frozen=True)
 class DetectionModel:
     scaler: Scaler
-    weights: np.ndarray
+    reconstruction: Reconstruction
     forest: Forest
 
 
 def fit_detection(
-    df: DataFrame, features: list[str], keys: list[str], k: int = 16, trees: int = 200, sample: int = 256, seed: int = 42
+    df: DataFrame,
+    features: list[str],
+    keys: list[str],
+    k: int = 16,
+    trees: int = 200,
+    sample: int = 256,
+    seed: int = 42,
+    reconstruct: Callable[[DataFrame, str, int], Reconstruction] | None = None,
 ) -> DetectionModel:
-    """Scaler, reconstruction weights and forest from normal rows."""
+    """Scaler, reconstruction model and forest from normal rows.
+
+    ``reconstruct`` fits another model than the principal components: it gets rows, their array column and ``k``.
+    """
     scaler = fit_scaler(df, features)
     rows = df.select(*keys, scaled(scaler).alias("scaled"))
-    weights = fit_components(rows, "scaled", min(k, len(features)))
-    latent = rows.select(*keys, embed(F.col("scaled"), weights).alias("embedding"))
-    return DetectionModel(scaler, weights, fit_forest(latent, "embedding", keys, trees, sample, seed))
+    size = min(k, len(features))
+    found = reconstruct(rows, "scaled", size) if reconstruct else Components(fit_components(rows, "scaled", size))
+    latent = rows.select(*keys, found.embed(F.col("scaled")).alias("embedding"))
+    return DetectionModel(scaler, found, fit_forest(latent, "embedding", keys, trees, sample, seed))
 
 
 def score_rows(df: DataFrame, model: DetectionModel, keep: list[str]) -> DataFrame:
@@ -246,8 +430,9 @@ def score_rows(df: DataFrame, model: DetectionModel, keep: list[str]) -> DataFra
     if missing:
         raise ValueError(f"rows lack model features: {missing}")
     out = df.select(*keep, scaled(model.scaler).alias("_scaled"))
-    out = out.withColumn("embedding", embed(F.col("_scaled"), model.weights))
-    out = out.withColumn("_errors", explain.feature_errors(F.col("_scaled"), rebuild(F.col("embedding"), model.weights)))
+    out = out.withColumn("embedding", model.reconstruction.embed(F.col("_scaled")))
+    rebuilt = model.reconstruction.rebuild(F.col("embedding"))
+    out = out.withColumn("_errors", explain.feature_errors(F.col("_scaled"), rebuilt))
     out = out.withColumn("total_reconstruction_error", explain.total_error(F.col("_errors")))
     shares = explain.contribution_ratios(F.col("_errors"), F.col("total_reconstruction_error"))
     groups = explain.group_errors("_errors", features)
@@ -261,21 +446,49 @@ def score_rows(df: DataFrame, model: DetectionModel, keep: list[str]) -> DataFra
     )
 
 
-def save_model(spark: SparkSession, model: DetectionModel, path: str) -> None:
-    """Store the feature contract, scaler, weights and trees as tables."""
-    scaler = [
-        (i, f, m, s, [float(w) for w in row])
-        for i, (f, m, s, row) in enumerate(zip(model.scaler.features, model.scaler.mean, model.scaler.std, model.weights))
-    ]
-    schema = "position int, feature string, mean double, std double, weights array<double>"
-    spark.createDataFrame(scaler, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
-    nodes = model.forest.nodes.assign(sample=model.forest.sample)
-    spark.createDataFrame(nodes, NODE_SCHEMA + ", sample int").coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+def save_model(
+    spark: SparkSession, model: DetectionModel, root: str, scored: DataFrame | None = None
+) -> versions.Version:
+    """Publish the feature contract, scaler, reconstruction and trees as the next version of ``root``.
 
+    With ``scored`` (rows of ``score_rows``) the scores and embeddings that belong to the model are
+    stored in the same version: a reader never meets scores of another model.
+    """
+    scaler = list(zip(range(len(model.scaler.features)), model.scaler.features, model.scaler.mean, model.scaler.std))
+    weights = [(i, [float(w) for w in row]) for i, row in enumerate(model.reconstruction.rows())]
+    nodes = model.forest.nodes.assign(sample=model.forest.sample)
 
-def load_model(spark: SparkSession, path: str) -> DetectionModel:
-    rows = spark.read.parquet(f"{path}/features").orderBy("position").collect()
+    def write(path: str) -> None:
+        for part, rows, schema in (
+            ("features", scaler, "position int, feature string, mean double, std double"),
+            ("reconstruction", weights, "position int, weights array<double>"),
+            ("trees", nodes, NODE_SCHEMA + ", sample int"),
+        ):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{part}")
+        if scored is not None:
+            scored.drop("embedding").write.parquet(f"{path}/scores")
+            keys = [c for c in scored.columns if c in ("user", "day", "pc")]
+            scored.select(*keys, "embedding").write.parquet(f"{path}/embeddings")
+
+    about = {"reconstruction": model.reconstruction.kind, "scored": scored is not None}
+    return versions.publish(spark, root, write, about=about)
+
+
+def load_model(spark: SparkSession, root: str, version: versions.Version | None = None) -> DetectionModel:
+    """The current or a given version of a stored model."""
+    pinned = version or versions.current(spark, root)
+    read = lambda part: versions.read(spark, root, pinned, part)
+    rows = read("features").orderBy("position").collect()
     scaler = Scaler([r["feature"] for r in rows], [r["mean"] for r in rows], [r["std"] for r in rows])
-    nodes = spark.read.parquet(f"{path}/trees").toPandas()
+    weights = [list(r["weights"]) for r in read("reconstruction").orderBy("position").collect()]
+    nodes = read("trees").toPandas()
     sample = int(nodes.pop("sample").iloc[0])
-    return DetectionModel(scaler, np.array([r["weights"] for r in rows]), Forest(nodes, sample))
+    return DetectionModel(scaler, RECONSTRUCTIONS[pinned.about["reconstruction"]].of_rows(weights), Forest(nodes, sample))
+
+
+def load_scored(spark: SparkSession, root: str, version: versions.Version | None = None) -> DataFrame:
+    """The scores and embeddings stored with a model."""
+    pinned = version or versions.current(spark, root)
+    scores, embeddings = (versions.read(spark, root, pinned, part) for part in ("scores", "embeddings"))
+    keys = [c for c in embeddings.columns if c != "embedding"]
+    return scores.join(embeddings, keys)

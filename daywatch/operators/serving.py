@@ -96,22 +96,48 @@ def correlations(df: DataFrame, features: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*cells)))
 
 
+def user_bands(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row per user and ``by`` columns: rows, rows per band, and count and sum of the scores.
+
+    Such rows add up (``merged_user_bands``): a table by user and day is kept by adding days, and any
+    range of days is summed from it.
+    """
+    band = F.col("ae_risk_band")
+    return df.groupBy("user", *(by or [])).agg(
+        F.count(F.lit(1)).alias("records"),
+        *[F.count_if(band == name).alias(name.lower()) for name in ("CRITICAL", "HIGH", "MEDIUM")],
+        F.count("if_anomaly_score").alias("scores"),
+        F.sum("if_anomaly_score").alias("score_sum"),
+    )
+
+
+def merged_user_bands(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows of ``user_bands`` added up to coarser ones."""
+    sums = [c for c in ("records", "critical", "high", "medium", "scores", "score_sum")]
+    return parts.groupBy("user", *(by or [])).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def overview(df: DataFrame) -> DataFrame:
     """Users, records, users per band, mean score and share of MEDIUM and above."""
-    band = F.col("ae_risk_band")
+    return overview_of(user_bands(df))
+
+
+def overview_of(users: DataFrame) -> DataFrame:
+    """``overview`` from one row per user: distinct users are counts of rows."""
 
-    def users(name: str) -> Column:
-        return F.count_distinct(F.when(band == name, F.col("user")))
+    def with_any(name: str) -> Column:
+        return F.count_if((F.col(name) > 0) & F.col("user").isNotNull())
 
-    total = F.count(F.lit(1))
-    return df.agg(
-        F.count_distinct("user").alias("total_users"),
+    total = F.coalesce(F.sum("records"), F.lit(0))
+    raised = F.sum(F.col("critical") + F.col("high") + F.col("medium"))
+    return users.agg(
+        F.count("user").alias("total_users"),
         total.alias("total_records"),
-        users("CRITICAL").alias("critical_users"),
-        users("HIGH").alias("high_users"),
-        users("MEDIUM").alias("medium_users"),
-        F.avg("if_anomaly_score").alias("avg_anomaly"),
-        (F.count_if(band.isin("CRITICAL", "HIGH", "MEDIUM")) * 100.0 / F.greatest(total, F.lit(1))).alias("detection_rate"),
+        with_any("critical").alias("critical_users"),
+        with_any("high").alias("high_users"),
+        with_any("medium").alias("medium_users"),
+        F.try_divide(F.sum("score_sum"), F.sum("scores")).alias("avg_anomaly"),
+        (F.coalesce(raised, F.lit(0)) * 100.0 / F.greatest(total, F.lit(1))).alias("detection_rate"),
     )
 
 
@@ -244,6 +270,41 @@ def page(df: DataFrame, order: list[Column | str], number: int, size: int = 10)
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
+Order = list[tuple[str, bool]]
+
+
+def _ordered(order: Order) -> list[Column]:
+    return [F.desc(c) if falling else F.asc(c) for c, falling in order]
+
+
+def write_sorted(df: DataFrame, order: Order, path: str, files: int | None = None) -> str:
+    """A copy by ranges of the order, sorted, so that a page's filter skips the row groups before it."""
+    keys = _ordered(order)
+    placed = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    placed.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    return path
+
+
+def page_after(df: DataFrame, order: Order, last: Mapping | None = None, size: int = 10) -> DataFrame:
+    """The page that follows the row with the keys ``last`` (the first page without).
+
+    ``order`` names columns that are never null and together unique, each with whether it falls. Rows up
+    to the last key are filtered out and the next ``size`` taken, so page 1000 costs what page 1 does;
+    nothing is sorted to be skipped.
+    """
+    rows = df
+    if last is not None:
+        after, equal = F.lit(False), F.lit(True)
+        for column, falling in order:
+            value = F.lit(last[column])
+            after = after | (equal & (F.col(column) < value if falling else F.col(column) > value))
+            equal = equal & (F.col(column) == value)
+        first, falling = order[0]
+        bound = F.col(first) <= F.lit(last[first]) if falling else F.col(first) >= F.lit(last[first])
+        rows = df.where(bound & after)  # the bound alone reaches the scan
+    return rows.orderBy(*_ordered(order)).limit(size)
+
+
 def drill_down(machine_day: DataFrame, user: str, day: str, sort: list[str] | None = None) -> DataFrame:
     rows = machine_day.where((F.col("user") == user) & (F.col("day") == F.lit(day).cast("date")))
     return rows.orderBy(*[F.desc(c) for c in sort]) if sort else rows

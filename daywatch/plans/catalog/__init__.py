@@ -2,6 +2,7 @@
 
 from daywatch.plans.catalog import (  # noqa: F401
     channel_queries,
+    detect_queries,
     layer_queries,
     model_queries,
     risk_queries,

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from daywatch.functions import bands, cleaning
 from daywatch.operators import layers, live, profiles, serving, triage
+from daywatch.operators.ranking import row_numbers
 from daywatch.plans.catalog.channel_queries import rounded
 from daywatch.plans.catalog.registry import query
 from daywatch.plans.catalog.risk_queries import alert_rows, band_sql, r6
 from daywatch.plans.catalog.sql_views import view, with_views
 from daywatch.sources import logs as log_sources
 from daywatch.sources import sample_views as sv
-from daywatch.sources import sinks
+from daywatch.session import scratch_path
+from daywatch.sources import sinks, versions
 
 FIRST, LAST, RISK, USER = "2024-01-05", "2024-01-25", ["MEDIUM", "HIGH", "CRITICAL"], "u3"
 FEATURES = {
@@ -92,6 +94,11 @@ def _register(name: str, sql: str, fn) -> None:
     query(name, with_views(sql))(fn)
 
 
+def positioned(df):
+    """Rows with the position they come out in: what an operator's order is held to."""
+    return row_numbers(df.withColumn("_at", F.monotonically_increasing_id()), ["_at"], "position").drop("_at")
+
+
 _register(
     "filtered_slice",
     f"""SELECT "user", day, ae_risk_band, {r6('ae_percentile_rank')} AS ae_percentile_rank FROM sliced""",
@@ -210,27 +217,48 @@ FROM serving s LEFT JOIN latest_status l ON l."user" = s."user" AND l.day = s.da
 for _key, (_label, _order) in _feed_order.items():
     _register(
         f"alert_feed_{_key}",
-        f"""SELECT "user", day, ae_risk_band, {r6('ae_percentile_rank')} AS ae_percentile_rank, status FROM ({_FEED_SQL}) WHERE status = 'NEW' ORDER BY {_order}, "user", day LIMIT 50""",
+        f"""SELECT "user", day, ae_risk_band, {r6('ae_percentile_rank')} AS ae_percentile_rank, status, row_number() OVER (ORDER BY {_order}, "user", day) AS position
+FROM ({_FEED_SQL}) WHERE status = 'NEW' ORDER BY position LIMIT 50""",
         lambda s, d, label=_label: rounded(
-            serving.alert_feed(serving_of(s, d), disposition_log(s, d), 40.0, "NEW", label, 50).select(
-                "user", "day", "ae_risk_band", "ae_percentile_rank", "status"
+            positioned(serving.alert_feed(serving_of(s, d), disposition_log(s, d), 40.0, "NEW", label, 50)).select(
+                "user", "day", "ae_risk_band", "ae_percentile_rank", "status", "position"
             )
         ),
     )
 _register(
     "alert_feed_suppressed",
-    f"""SELECT "user", day, {r6('ae_percentile_rank')} AS ae_percentile_rank FROM serving WHERE status = 'suppressed' AND ae_percentile_rank >= 40""",
+    f"""SELECT "user", day, {r6('ae_percentile_rank')} AS ae_percentile_rank, row_number() OVER (ORDER BY ae_percentile_rank DESC, "user", day) AS position
+FROM serving WHERE status = 'suppressed' AND ae_percentile_rank >= 40""",
     lambda s, d: rounded(
-        serving.alert_feed(serving_of(s, d), disposition_log(s, d), 40.0, suppressed=True).select("user", "day", "ae_percentile_rank")
+        positioned(serving.alert_feed(serving_of(s, d), disposition_log(s, d), 40.0, suppressed=True)).select("user", "day", "ae_percentile_rank", "position")
     ),
 )
 _register(
     "history_page",
-    f"""SELECT "user", day, {r6('ae_percentile_rank')} AS ae_percentile_rank FROM sliced ORDER BY ae_percentile_rank DESC, "user", day LIMIT 10 OFFSET 20""",
+    f"""SELECT "user", day, {r6('ae_percentile_rank')} AS ae_percentile_rank, row_number() OVER (ORDER BY ae_percentile_rank DESC, "user", day) - 20 AS position
+FROM sliced ORDER BY position LIMIT 10 OFFSET 20""",
     lambda s, d: rounded(
-        serving.page(sliced_of(s, d), [F.desc("ae_percentile_rank"), "user", "day"], 2).select("user", "day", "ae_percentile_rank")
+        positioned(serving.page(sliced_of(s, d), [F.desc("ae_percentile_rank"), "user", "day"], 2)).select("user", "day", "ae_percentile_rank", "position")
     ),
 )
+PAGE_ORDER = [("ae_percentile_rank", True), ("user", False), ("day", False)]
+
+
+def _sought_page(spark, sf_dir, number):
+    """The page of a sorted copy that many pages on, each sought after the last row of the one before."""
+    path = serving.write_sorted(sliced_of(spark, sf_dir), PAGE_ORDER, scratch_path(spark, "sorted"), 4)
+    rows, last = spark.read.parquet(path), None
+    for _ in range(number):
+        last = serving.page_after(rows, PAGE_ORDER, last).collect()[-1]  # ten rows
+    return serving.page_after(rows, PAGE_ORDER, last)
+
+
+_register(
+    "history_page_sought",
+    f"""SELECT "user", day, {r6('ae_percentile_rank')} AS ae_percentile_rank, row_number() OVER (ORDER BY ae_percentile_rank DESC, "user", day) - 20 AS position
+FROM sliced ORDER BY position LIMIT 10 OFFSET 20""",
+    lambda s, d: rounded(positioned(_sought_page(s, d, 2)).select("user", "day", "ae_percentile_rank", "position")),
+)
 _register(
     "machine_drill_down",
     f"""SELECT "user", pc, day, n FROM ev_days WHERE "user" = '{USER}' AND day = (SELECT max(day) FROM ev_days WHERE "user" = '{USER}')""",
@@ -289,15 +317,43 @@ _register("user_list", """SELECT DISTINCT "user" FROM serving""", lambda s, d: s
 
 # --- serving table, wanted columns, one-user read -------------------------------------------
 
+CHECK_SERVING = f"""SELECT s."user", day, CAST(logon_count AS INT) AS logon_count, CAST(emails_sent AS INT) AS emails_sent, department, round(CAST(a.if_anomaly_score AS DOUBLE), 4) + 0.0 AS if_anomaly_score, a.composite_risk_band
+FROM serving s LEFT JOIN alert_rows a USING ("user", day)"""
 _register(
     "serving_table",
-    f"""SELECT s."user", day, CAST(logon_count AS INT) AS logon_count, CAST(emails_sent AS INT) AS emails_sent, department, round(CAST(a.if_anomaly_score AS DOUBLE), 4) + 0.0 AS if_anomaly_score, a.composite_risk_band
-FROM serving s LEFT JOIN alert_rows a USING ("user", day)""",
+    CHECK_SERVING,
     lambda s, d: sinks.serving_table(
         serving_of(s, d).select("user", "day", "logon_count", "emails_sent", "department"),
         alert_rows(s, d).select("user", "day", "if_anomaly_score", "composite_risk_band"),
     ).withColumn("if_anomaly_score", F.round(F.col("if_anomaly_score").cast("double"), 4)),
 )
+
+
+def _replaced_serving(spark, sf_dir):
+    """The serving table published twice; what is read is the second version, whole."""
+    root = scratch_path(spark, "serving")
+    rows = serving_of(spark, sf_dir).select("user", "day", "logon_count", "emails_sent", "department")
+    versions.replace(sinks.serving_table(rows, alert_rows(spark, sf_dir).select("user", "day", "composite_risk_band").limit(0)), root)
+    scored = alert_rows(spark, sf_dir).select("user", "day", "if_anomaly_score", "composite_risk_band")
+    versions.replace(sinks.serving_table(rows, scored), root)
+    return versions.read(spark, root).withColumn("if_anomaly_score", F.round(F.col("if_anomaly_score").cast("double"), 4))
+
+
+_register("replaced_serving_table", CHECK_SERVING, _replaced_serving)
+_register(
+    "overview_of_days",
+    f"""SELECT count(DISTINCT "user") AS total_users, count(*) AS total_records, count(DISTINCT CASE WHEN ae_risk_band = 'CRITICAL' THEN "user" END) AS critical_users,
+  count(DISTINCT CASE WHEN ae_risk_band = 'HIGH' THEN "user" END) AS high_users, count(DISTINCT CASE WHEN ae_risk_band = 'MEDIUM' THEN "user" END) AS medium_users,
+  {r6('avg(if_anomaly_score)')} AS avg_anomaly, {r6("count(*) FILTER (ae_risk_band IN ('CRITICAL', 'HIGH', 'MEDIUM')) * 100.0 / greatest(count(*), 1)")} AS detection_rate
+FROM serving WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'""",
+    lambda s, d: rounded(
+        serving.overview_of(
+            serving.merged_user_bands(
+                serving.user_bands(serving_of(s, d), ["day"]).where("day BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'")
+            )
+        )
+    ),
+)
 _register(
     "narrow_types",
     """SELECT "user", day, CAST(n AS INT) AS n, CAST(cents AS INT) AS cents FROM user_day""",
@@ -343,9 +399,22 @@ def _one_disposition(spark, sf_dir):
 
 _register(
     "dispositions_newest_first",
-    """SELECT "user", day, status, note, "timestamp" FROM latest_status ORDER BY "timestamp" DESC, "user", day""",
-    lambda s, d: triage.newest_first(disposition_log(s, d)),
+    """SELECT "user", day, status, note, "timestamp", row_number() OVER (ORDER BY "timestamp" DESC, "user", day) AS position FROM latest_status""",
+    lambda s, d: positioned(triage.newest_first(disposition_log(s, d))),
 )
+
+
+def _compacted(spark, sf_dir):
+    """The log recorded in pieces, compacted between them, read through its base and tail."""
+    root, log = scratch_path(spark, "triage"), disposition_log(spark, sf_dir)
+    for part in range(4):
+        triage.record(root, log.where(F.col("status") == "RESOLVED" if part == 3 else (F.col("status") != "RESOLVED") & (F.dayofmonth("day") % 3 == part)))
+        if part in (1, 2):
+            triage.compact(spark, root)
+    return triage.latest_dispositions(triage.stored_log(spark, root))
+
+
+_register("compacted_dispositions", """SELECT "user", day, status, note, "timestamp" FROM latest_status""", _compacted)
 _register(
     "alert_status",
     """SELECT s."user", s.day, coalesce(l.status, 'NEW') AS status FROM scored s LEFT JOIN latest_status l ON l."user" = s."user" AND l.day = s.day""",
@@ -409,10 +478,10 @@ WHERE r = 1 AND if_risk_band = 'low' AND day NOT IN (SELECT day FROM serving WHE
 LIVE_BAND = f"CASE WHEN if_percentile_rank IS NULL THEN 'LOW' ELSE {band_sql('if_percentile_rank')} END"
 _register(
     "live_table",
-    f"""SELECT "user", event_index, {r6('if_percentile_rank')} AS ui_percentile, {r6('if_anomaly_score')} AS ui_anomaly_score, {r6('if_percentile_rank')} AS ui_composite_score, {LIVE_BAND} AS ui_risk_band
-FROM live_records ORDER BY CASE WHEN cert_timestamp <> 'unknown' THEN cert_timestamp END DESC NULLS LAST, event_index DESC""",
+    f"""SELECT "user", event_index, {r6('if_percentile_rank')} AS ui_percentile, {r6('if_anomaly_score')} AS ui_anomaly_score, {r6('if_percentile_rank')} AS ui_composite_score, {LIVE_BAND} AS ui_risk_band,
+  row_number() OVER (ORDER BY CASE WHEN cert_timestamp <> 'unknown' THEN cert_timestamp END DESC NULLS LAST, event_index DESC) AS position FROM live_records""",
     lambda s, d: rounded(
-        live.live_table(live_records(s, d)).select("user", "event_index", "ui_percentile", "ui_anomaly_score", "ui_composite_score", "ui_risk_band")
+        positioned(live.live_table(live_records(s, d))).select("user", "event_index", "ui_percentile", "ui_anomaly_score", "ui_composite_score", "ui_risk_band", "position")
     ),
 )
 _register(

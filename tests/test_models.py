@@ -102,3 +102,52 @@ def test_group_errors_average_families(spark):
 def test_zero_error_contributes_nothing(spark):
     row = spark.createDataFrame([([0.0, 0.0],)], "e array<double>")
     assert row.select(explain.contribution_ratios(F.col("e"), explain.total_error(F.col("e"))).alias("r")).first()["r"] == [0.0, 0.0]
+
+
+def test_another_reconstruction_model_takes_its_place(spark, cloud, tmp_path):
+    """Fitted, scored, stored with its scores and read back through the same calls."""
+    normal, keys = cloud.where("user LIKE 'u%'"), ["user", "day"]
+    centres = lambda rows, column, k: models.fit_centres(rows, column, 5)
+    model = models.fit_detection(normal, ["a", "b", "c"], keys, k=3, trees=10, sample=32, reconstruct=centres)
+    scored = models.score_rows(cloud, model, keys)
+    points = model.reconstruction.points
+    assert points.shape == (5, 3)
+    for r in scored.join(cloud, keys).limit(40).collect():
+        own = (np.array([r["a"], r["b"], r["c"]]) - model.scaler.mean) / model.scaler.std
+        distances = np.sqrt(((points - own) ** 2).sum(1))
+        np.testing.assert_allclose(r["embedding"], distances, atol=1e-9)
+        assert r["total_reconstruction_error"] == pytest.approx(distances.min() ** 2, abs=1e-9)
+    root = str(tmp_path / "m")
+    first = models.save_model(spark, model, root, scored)
+    models.save_model(spark, models.fit_detection(normal, ["a", "b", "c"], keys, k=1, trees=5, sample=32), root)
+    assert isinstance(models.load_model(spark, root).reconstruction, models.Components)
+    loaded = models.load_model(spark, root, first)
+    assert isinstance(loaded.reconstruction, models.Centres)
+    stored = models.load_scored(spark, root, first).select(scored.columns).orderBy("user").toPandas()
+    again = models.score_rows(cloud, loaded, keys).orderBy("user").toPandas()
+    np.testing.assert_allclose(stored["if_anomaly_score"], again["if_anomaly_score"])
+    np.testing.assert_allclose(np.vstack(stored["embedding"]), np.vstack(again["embedding"]))
+
+
+def test_days_added_one_by_one_give_the_model_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    mix = rng.normal(size=(6, 6)) * np.exp(-np.arange(6))[:, None]
+    data = rng.normal(size=(600, 6)) @ mix + [0, 1e6, 3, -50, 0, 7]
+    data[:, 4] = 2.5
+    features = [f"f{i}" for i in range(6)]
+    rows = [(f"u{i}", date(2010, 1, 1 + i % 9), *map(float, r)) for i, r in enumerate(data)]
+    df = spark.createDataFrame(rows, "user string, day date, " + ", ".join(f"{f} double" for f in features)).repartition(5)
+    kept = None
+    for d in range(1, 10):
+        day = models.moments(df.where(F.dayofmonth("day") == d), features, ["day"])
+        kept = day.cache() if kept is None else kept.union(day).cache()
+    assert sum(r["n"] for r in kept.collect()) == 600
+    scaler, components = models.fit_from_moments(kept, features, 3)
+    whole = models.fit_scaler(df, features)
+    np.testing.assert_allclose(scaler.mean, whole.mean, rtol=1e-12)
+    np.testing.assert_allclose(scaler.std, whole.std, rtol=1e-8)
+    direct = models.fit_components(df.select(models.scaled(whole).alias("v")), "v", 3)
+    np.testing.assert_allclose(components.weights, direct, atol=1e-5)
+    bad = df.withColumn("f0", F.when(F.col("user") != "u3", F.col("f0")))
+    with pytest.raises(Exception, match="non-finite"):
+        models.moments(bad, features, ["day"]).collect()

@@ -24,3 +24,21 @@ def test_batches_and_late_rows(spark):
     counts = event_stream.current_counts(spark.read.option("basePath", out).parquet(f"{out}/batch=*"))
     kept = events.where((F.col("event_id") % 11 != 0) | (F.to_date("ts") > first)).count()
     assert counts.agg(F.sum("n")).first()[0] == kept
+
+
+def test_the_end_is_marked_beside_the_batches(spark):
+    from daywatch.operators import ranking
+    from daywatch.streaming import scoring
+
+    rows, out = scratch_path(spark, "rows"), scratch_path(spark, "scores")
+    scores = spark.range(40).select(F.concat(F.lit("u"), F.col("id")).alias("user"), (F.col("id") / 40).alias("if_anomaly_score"))
+    scores.repartition(2).write.parquet(rows)
+    index = ranking.build_index(scores, "if_anomaly_score")
+    source = scoring.row_source(spark, rows, scores.schema)
+    query = scoring.score_stream(source, lambda batch: batch, index, out, scratch_path(spark, "stream"))
+    assert not scoring.ended(spark, out)
+    scoring.score_to_end(spark, out, query)
+    assert scoring.ended(spark, out)
+    found = spark.read.json(out)
+    assert dict(found.dtypes)["batch"] == "int" and found.count() == 40
+    assert {r["if_percentile_rank"] for r in found.collect()} == {round(i / 40 * 100, 2) for i in range(40)}

@@ -125,3 +125,41 @@ def test_build_writes_consistent_tables(spark, tmp_path):
     assert spark.read.parquet(paths["peer_baselines"]).count() > 0
     (first,) = user_days.agg(F.min("day")).first()
     assert first + timedelta(days=20) > first
+
+
+def test_the_detection_run_stores_every_result(spark, tmp_path):
+    from daywatch.operators import ranking
+    from daywatch.plans import detect
+    from daywatch.sources import versions
+
+    windows = sv.labelled_windows(spark, SAMPLE)
+    small = build.bl.BaselineWindows(delta=3, z=6, z_min=3, z_long=8, z_long_min=4, short_sum=3, long_sum=5)
+    tables = build.build_tables(
+        spark, sv.activity_logs(spark, SAMPLE), clean_directory(sv.directory(spark, SAMPLE)), windows, str(tmp_path / "build"),
+        build.BuildSettings(schedule_min_days=3, machine_min_history=3, windows=small),
+    )
+    root = str(tmp_path / "detect")
+    found = detect.run(spark, tables, windows, root, detect.DetectionSettings(4, 10, 64, 5, "LOW"))
+    clean = log_sources.read_split(spark, tables["calibration_clean"]).count()
+    for signal in ("ae", "if"):
+        assert ranking.load_index(spark, f"{root}/baseline_{signal}").size == clean > 0
+    limits = detect.ceilings(spark, root)
+    assert all(limits[s]["LOW"] <= limits[s]["MEDIUM"] <= limits[s]["HIGH"] and limits[s]["CRITICAL"] is None for s in limits)
+    total = 0
+    for split in detect.SPLITS:
+        rows = found[f"alerts_{split}"]
+        gated = log_sources.read_split(spark, tables[split]).count()
+        total += gated
+        assert rows.count() == gated and rows.where("ae_percentile_rank < 0 OR ae_percentile_rank > 100").count() == 0
+        worst = rows.where("composite_risk_band <> 'LOW'").count()
+        assert found[f"cases_{split}"].agg(F.sum("anomalous_days")).first()[0] in (None, rows.count()) or worst
+    serving = found["serving"]
+    assert serving.count() == spark.read.parquet(tables["user_days"]).count()
+    assert serving.where("if_anomaly_score IS NOT NULL").count() == total
+    # A second run publishes new versions beside the ones being read.
+    before = versions.current(spark, f"{root}/serving").number
+    detect.alert_split(spark, tables, root, "test_stream", detect.DetectionSettings(4, 10, 64))
+    detect.serve(spark, tables, root)
+    assert versions.current(spark, f"{root}/serving").number == before + 1 and serving.count() > 0
+    with pytest.raises(ValueError, match="unknown split"):
+        detect.alert_split(spark, tables, root, "other")
