@@ -293,7 +293,8 @@ def encode(docs: DataFrame, ranks: str, text_col: str = "text", ids: str = "ids"
 
     Both are binary, little-endian 32-bit integers. ``ranks`` is a rank file present on every
     machine. Null and empty texts have no tokens. Names that ``docs`` uses get an underscore
-    before them.
+    before them. Ids of rows don't matter, null or repeated: each row is encoded by itself and an
+    empty table gives no rows. Texts of any length are split whole.
     """
 
     def columns(texts: list[bytes | None]) -> list[pa.Array]:

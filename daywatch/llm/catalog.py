@@ -65,10 +65,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
-@query("op3_license_scan", sql.license_scan(licenses.KNOWN, licenses.SPELLINGS))
+@query("op3_license_scan", sql.license_scan(licenses.KNOWN, licenses.SPELLINGS, licenses.KNOWN_DIGESTS, licenses.PROSE))
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that documents, or lines of them, are."""
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licences(spark))
+    known, more = licenses.known_licences(spark), licenses.known_digests(spark)
+    return licenses.scan(table(spark, sf_dir, "documents"), known, more=more)
 
 
 @query("op4_exact_dedup", sql.EXACT_DEDUP)

@@ -43,21 +43,44 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
 
 
-def license_scan(known: list[tuple[str, str]], spellings: list[tuple[str, str]]) -> str:
+def license_scan(
+    known: list[tuple[str, str]], spellings: list[tuple[str, str]], more: list[tuple[str, str]], prose: str
+) -> str:
+    def statement(line: str) -> str:
+        """Whether a line is a copyright statement; what "copyright" must not be followed by is a test of its own."""
+        marks = r"^[ \t]*(©|\(c\)[ \t]*(copyright|©)|copyright[ \t]*(\(c\)|©|:|,?[ \t]*[0-9]{4}))"
+        year = r"^[ \t]*\(c\)([^\n]*[^0-9])?(19|20)[0-9]{2}([^0-9]|$)"
+        holder = r"^[ \t]*copyright[ \t]+[\p{L}\p{N}<\[{]"
+        text_of_licence = rf"^[ \t]*copyright[ \t]+({prose})([^\p{{L}}\p{{N}}]|$)"
+        return (
+            f"(regexp_matches({line}, {text(marks)}) OR regexp_matches({line}, {text(year)})"
+            f" OR regexp_matches({line}, {text(holder)}) AND NOT regexp_matches({line}, {text(text_of_licence)}))"
+        )
+
     def canonical(column: str) -> str:
         upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
         out = f"translate(coalesce({column}, ''), '{upper}', '{upper.lower()}')"
-        out = f"regexp_replace({out}, '(^|\\n)[ \\t]*(copyright|\\(c\\)|©)[^\\n]*', '\\1', 'g')"
+        kept = f"CASE WHEN {statement('x')} THEN '' ELSE x END"
+        out = f"array_to_string(list_transform(string_split({out}, chr(10)), lambda x: {kept}), chr(10))"
         out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
         for a, b in spellings:
             out = f"replace({out}, {text(a)}, {text(b)})"
         return out
 
-    whole = "sha256(trim(regexp_replace({}, '[ \\n]+', ' ', 'g')))".format
+    def whole(canonical_text: str) -> str:
+        out = f"regexp_replace({canonical_text}, '[ \n]+', ' ', 'g')"
+        for a, b in spellings:
+            if " " in a:
+                out = f"replace({out}, {text(a)}, {text(b)})"
+        return f"sha256(trim({out}))"
+
+    given = ", ".join(f"({text(i)}, {text(d)})" for i, d in more)
     values = ", ".join(f"({text(i)}, {text(t)})" for i, t in known)
     return f"""
 WITH known AS (
-  SELECT {whole(canonical("t"))} AS digest, min(i) AS id FROM (VALUES {values}) AS k(i, t) GROUP BY 1),
+  SELECT digest, min(i) AS id FROM (
+    SELECT {whole(canonical("t"))} AS digest, i FROM (VALUES {values}) AS k(i, t) UNION ALL SELECT d, i FROM (VALUES {given}) AS g(i, d))
+  GROUP BY digest),
 d AS (SELECT doc_id, {canonical("text")} AS c FROM documents),
 w AS (SELECT doc_id, c, {whole("c")} AS text_digest FROM d),
 lines AS (SELECT doc_id, trim(x) AS line FROM (SELECT doc_id, unnest(string_split(c, chr(10))) AS x FROM d)),

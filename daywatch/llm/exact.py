@@ -34,7 +34,8 @@ def exact_groups(
     code points in its original text stays, then the one with the smallest id. A null text
     counts as empty. A null id ranks after all others; ``keep_id`` is null only where every
     row of the group has a null id. Rows that repeat the surviving id within a group cannot
-    be told from the survivor and are all marked kept. Empty tables give empty results.
+    be told from the survivor and are all marked kept (``drop_copies`` keeps one). Texts of any length are
+    compared whole. Empty tables give empty results.
     """
     norm = normalise(F.col(text_col))
     texts = docs.select(
@@ -73,17 +74,34 @@ def exact_groups(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns."""
-    dropped = (
-        exact_groups(docs, id_col, text_col, **how)
-        .where(~F.col("kept"))
-        .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    )
+    """One row of each group of ``exact_groups``, with all its columns.
+
+    Where rows repeat the id that stays (or none of a group has an id), the least of them by its
+    columns, from the first on, stays. Null and empty texts are one group. Empty tables give empty results.
+    """
+    groups = stored(exact_groups(docs, id_col, text_col, **how).select("doc_id", "kept", "text_sha256"), "exact_groups")
+    named = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")]
+    dropped = groups.where(~F.col("kept")).select(*named)
+    again = groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select(*named)
     sha = free_name(docs, "text_sha256")
     normalise = how.get("normalise", without_spaces)
     keyed = docs.withColumn(sha, F.sha2(normalise(F.col(text_col)), 256))
-    same = keyed[id_col].eqNullSafe(dropped["_id"]) & (keyed[sha] == dropped["_sha"])
-    return keyed.join(dropped, same, "left_anti").drop(sha)
+
+    def same(rows: DataFrame, other: DataFrame) -> Column:
+        return rows[id_col].eqNullSafe(other["_id"]) & (rows[sha] == other["_sha"])
+
+    kept = keyed.join(dropped, same(keyed, dropped), "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, same(kept, again), "left_anti").union(
+            one_of_each(kept.join(again, same(kept, again), "left_semi"), [id_col, sha])
+        )
+    return kept.drop(sha)
+
+
+def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The least row of each key by the order of its columns; rows fall together in the tasks first."""
+    least = F.min(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("least")
+    return rows.groupBy(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]).agg(least).select("least.*")
 
 
 def _best() -> Column:

@@ -49,7 +49,35 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
 COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
 OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_TERMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_NAMES = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+"""
+BSD_DISCLAIMER = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_2, BSD_3 = BSD_TERMS + BSD_DISCLAIMER, BSD_TERMS + BSD_NAMES + BSD_DISCLAIMER
 KNOWN = [
+    ("BSD-2-Clause", BSD_2),
+    ("BSD-2-Clause", "All rights reserved.\n\n" + BSD_2),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + BSD_2),
+    ("BSD-3-Clause", BSD_3),
+    ("BSD-3-Clause", "All rights reserved.\n\n" + BSD_3),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + BSD_3),
     ("MIT", MIT),
     ("MIT", "MIT License\n\n" + MIT),
     ("ISC", ISC),
@@ -65,6 +93,23 @@ KNOWN = [
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
 ]
 
+# Digests of longer published texts, whole and in canonical form (``whole_digest``).
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2-only", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3-only", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0-only", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+]
+
 # Words that follow "copyright" in the prose of licences, where a statement has a year or a holder.
 PROSE = (
     "notices?|holders?|owners?|licen[cs]es?|laws?|statements?|and|or|interests?|permissions?|disclaimers?|"
@@ -110,24 +155,35 @@ def known_licences(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, "license_id string, license_text string")
 
 
-def digests(licences: DataFrame) -> DataFrame:
-    """``text_digest, license_id`` of known texts; of ids with equal texts the smallest stays."""
-    return (
-        licences.where("license_text is not null")
-        .groupBy(whole_digest(canonical(F.col("license_text"))).alias("text_digest"))
-        .agg(F.min("license_id").alias("license_id"))
-    )
+def known_digests(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(KNOWN_DIGESTS, "license_id string, text_digest string")
+
+
+def digests(licences: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """``text_digest, license_id`` of known texts, and of ``more`` digests; of ids with equal texts the smallest stays."""
+    text = whole_digest(canonical(F.col("license_text"))).alias("text_digest")
+    rows = licences.where("license_text is not null").select(text, "license_id")
+    if more is not None:
+        rows = rows.union(more.select("text_digest", "license_id"))
+    return rows.groupBy("text_digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame,
+    licences: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    more: DataFrame | None = None,
+) -> DataFrame:
     """One row per input row: ``doc_id, text_digest, license_id, notice_ids, n_notices``.
 
     ``license_id`` is that of the known text which the whole document equals in canonical
     form, else null. ``notice_ids`` are the ids of known texts that equal a line of it, sorted
     and joined by commas (null if none); ``n_notices`` counts those lines. Empty and null texts
-    have the digest of the empty text. Repeated rows are each scanned.
+    have the digest of the empty text. Repeated rows are each scanned; texts of any length are
+    scanned whole; an empty table gives no rows. ``licences`` has known texts, ``more`` digests of others.
     """
-    known = digests(licences)
+    known = digests(licences, more)
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     empty = F.sha2(F.lit(""), 256)

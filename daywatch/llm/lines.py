@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from daywatch.llm import blobs
-from daywatch.llm.text import free_name, pieces, stored, texts_of
+from daywatch.llm.text import free_name, pieces, small_batches, stored, texts_of
 from daywatch.session import shuffle_width
 
 MIN_CHARS = 40
@@ -137,7 +137,7 @@ def _entries(docs: DataFrame, min_chars: int, slices: int) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return docs.select("owner", "text").mapInArrow(run, schema)
+    return small_batches(docs.select("owner", "text")).mapInArrow(run, schema)
 
 
 def _filters(entries: DataFrame, bits: int) -> DataFrame:
@@ -279,4 +279,4 @@ def dedup(
                 own = [c for i, c in enumerate(batch.columns) if i != gone_at]
                 yield pa.RecordBatch.from_arrays([*own, struct], names=schema.names)
 
-    return rows.mapInArrow(drop, schema)
+    return small_batches(rows).mapInArrow(drop, schema)

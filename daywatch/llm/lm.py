@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from daywatch.llm import blobs
-from daywatch.llm.text import free_name, pieces, stored
+from daywatch.llm.text import free_name, pieces, small_batches, stored
 from daywatch.llm.warc import file_system
 from daywatch.session import scratch_path
 
@@ -192,7 +192,8 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 found = pc.value_counts(lower_words(batch.column(0))[0])
                 yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
 
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long")
+    texts = small_batches(docs.select(F.col(text_col).cast("string")))
+    parts = texts.mapInArrow(run, "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -378,7 +379,7 @@ def token_lines(docs: DataFrame, text_col: str, model: Model) -> DataFrame:
                     columns = [pa.array([packed], pa.binary()), pa.array([len(tokens)], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["data", "n"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "data binary, n long")
+    return small_batches(docs.select(F.col(text_col).cast("string"))).mapInArrow(run, "data binary, n long")
 
 
 AVERAGED = "slice int, part long, weight double, data binary"
@@ -494,4 +495,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
                 out = [pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), means]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *out], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from daywatch.llm import blobs
 from daywatch.llm.text import pieces as runs_of
-from daywatch.llm.text import stored
+from daywatch.llm.text import small_batches, stored
 from daywatch.session import shuffle_width
 
 CAPACITY = 4096
@@ -226,7 +226,7 @@ def token_pieces(
                 taken = batch.column(0).take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([taken, *columns, pa.array(ids, pa.binary())], names=schema.names)
 
-    return narrow.mapInArrow(run, schema)
+    return small_batches(narrow).mapInArrow(run, schema)
 
 
 def solve(counts: np.ndarray, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
 from daywatch.llm.components import components
+from daywatch.llm.exact import one_of_each
 from daywatch.llm.text import free_name, stored, with_columns
 
 SEED = 42
@@ -102,14 +103,14 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_groups(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``fp, component_id`` from ``fp, doc_id`` rows: the smallest id of the component."""
+    """``fp, component_id, root`` from ``fp, doc_id`` rows: the smallest id and fingerprint of the component."""
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprints")
     roots = components(links(distinct.select("fp"), max_bits))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least_id"
     )
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return stored(rooted.join(ids, "root").select("fp", "component_id"), "groups")
+    return stored(rooted.join(ids, "root").select("fp", "component_id", "root"), "groups")
 
 
 def near_copies(
@@ -134,13 +135,23 @@ def drop_near_copies(
 ) -> DataFrame:
     """One document of each component stays, that with the smallest id, with all its columns.
 
-    Rows that repeat the surviving id within a component all stay.
+    Where rows repeat that id (or none of a component has an id), the least of them by its columns,
+    from the first on, stays. Null and empty texts are linked to each other like any others.
     """
-    fp, group = free_name(docs, "fp"), free_name(docs, "component_id")
+    fp, group, root = (free_name(docs, n) for n in ("fp", "component_id", "root"))
     printed = with_fingerprints(docs, text_col, fp, shingle)
     prints = stored(printed.select(F.col(fp).alias("fp"), F.col(id_col).alias("doc_id")), "prints")
-    groups = near_groups(prints, max_bits).select(F.col("fp").alias(fp), F.col("component_id").alias(group))
-    return printed.join(groups, fp).where(F.col(id_col).eqNullSafe(F.col(group))).select(*docs.columns)
+    found = near_groups(prints, max_bits)
+    groups = found.select(F.col("fp").alias(fp), F.col("component_id").alias(group), F.col("root").alias(root))
+    kept = printed.join(groups, fp).where(F.col(id_col).eqNullSafe(F.col(group)))
+    members = prints.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    again = members.groupBy("root").count().where("count > 1").select(F.col("root").alias("_again"))
+    if not again.isEmpty():
+        repeated = kept[root] == again["_again"]
+        kept = kept.join(again, repeated, "left_anti").union(
+            one_of_each(kept.join(again, repeated, "left_semi"), [root])
+        )
+    return kept.select(*docs.columns)
 
 
 def _bit(i: int) -> int:

@@ -12,13 +12,27 @@ from pyspark.sql.types import StructField, StructType
 
 from daywatch.session import scratch_path
 
-#: Text bytes that a Python function gets at once.
+#: Text bytes that a Python function works on at once, and bytes that Spark hands it at once.
 BATCH_BYTES = 4 << 20
+HANDED_BYTES = 8 << 20
+_HANDED = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: The white space that separates words; what bytes.split() takes as white space.
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, after holding its session to small Arrow batches unless it is held to some already.
+
+    Spark's own bound, 64 MB a batch, is kept several times over by a task and its worker: too much
+    where rows are whole texts.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_HANDED).rstrip("b")) > HANDED_BYTES:
+        conf.set(_HANDED, str(HANDED_BYTES))
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}
@@ -42,6 +56,7 @@ def ascii_lower(text: Column) -> Column:
 def pieces(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about ``most`` bytes of text each, one row at least."""
     rows, at = batch.num_rows, 0
+    pa.default_memory_pool().release_unused()
     if not rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -74,4 +89,4 @@ def with_columns(
             for batch in pieces(whole, at, most):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *fn(texts_of(batch, at))], names=names)
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *fields]))
+    return small_batches(df).mapInArrow(run, StructType([*df.schema.fields, *fields]))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from daywatch.llm.text import stored
+from daywatch.llm.text import small_batches, stored
 
 #: Payloads below this size are never stored as revisits.
 LEAST_REVISIT = 100
@@ -112,7 +112,9 @@ def write(
     Of pages with equal payloads of 100 bytes or more, the one with the smallest id is a
     response and the others revisit it; smaller payloads are all responses. A null payload is
     empty, a null URL leaves its header out. A null id ranks last; without any other id in
-    its group such a page is a response.
+    its group such a page is a response. Rows that repeat the smallest id are responses each, under
+    one record id, as are rows that repeat an id otherwise: a record a row. An empty table
+    gives an empty manifest. Payloads of any length are one record; other columns don't matter.
 
     Every attempt of a task writes files of its own, and the manifest (``path, records,
     bytes``, a stored table) has those of the attempts that counted: what lost or repeated
@@ -144,7 +146,7 @@ def write(
         kinds = (pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "records", "bytes"])
 
-    return stored(planned.mapInArrow(run, MANIFEST), "manifest")
+    return stored(small_batches(planned).mapInArrow(run, MANIFEST), "manifest")
 
 
 class Damaged(ValueError):
@@ -270,4 +272,6 @@ def read(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
                     if rows:
                         yield batch(rows)
 
-    return archives.select("path").repartition("path").mapInArrow(run, schema)
+    # A task an archive; a number that is given isn't reduced for how little the paths weigh.
+    paths = archives.select("path")
+    return small_batches(paths.repartition(max(1, paths.count()))).mapInArrow(run, schema)

@@ -37,12 +37,22 @@ def test_a_hash_shared_by_different_texts_splits(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == expected()
 
 
-def test_drop_copies_keeps_columns(spark):
+def test_drop_copies_keeps_one_row_of_each_group(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     got = exact.drop_copies(docs)
     assert got.columns == docs.columns
-    wanted = sorted((r[0] for r in expected() if r[3]), key=repr)
-    assert sorted((r["doc_id"] for r in got.collect()), key=repr) == wanted
+    # The surviving id 4 of the first group is given twice.
+    wanted = sorted({(r[1], r[4]) for r in expected()}, key=repr)
+    norm = lambda t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).hexdigest()
+    assert sorted(((r["doc_id"], norm(r["text"])) for r in got.collect()), key=repr) == wanted
+
+
+def test_a_table_taken_in_twice_gives_what_it_gives_once(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    once, twice = exact.drop_copies(docs), exact.drop_copies(docs.union(docs).repartition(3))
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, twice.collect()))
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a text").alias("text"))
+    assert exact.drop_copies(same).count() == 1
 
 
 def test_empty(spark):

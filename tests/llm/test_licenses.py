@@ -1,6 +1,11 @@
 import textwrap
+from pathlib import Path
 
-from daywatch.llm import licenses
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from daywatch.llm import check_sql, licenses
 
 SCHEMA = "doc_id long, text string, license_id int, canonical string"
 
@@ -65,3 +70,39 @@ def test_only_copyright_statements_go(spark):
     ]
     got = scan(spark, [(i, line + "\n" + licenses.MIT) for i, line in enumerate([*gone, *kept])])
     assert [r[1] for r in sorted(got)] == ["MIT"] * len(gone) + [None] * len(kept)
+
+
+def test_the_sql_says_the_same_of_odd_texts(spark):
+    """Rewrapped licences, statement lines of all kinds and notices: the rows of query and SQL."""
+    texts = [None, "", "\n \n", "Copyright 2020\nCopyright The Authors\nsome text\n\n(c) 2001 X\r\n", "(c) 12020 x", "(c) a 1999b 20001"]
+    for text in (licenses.MIT, licenses.ISC, licenses.BSD_2, licenses.BSD_3):
+        for width in (40, 60, 72, 76, 80, 10**6):
+            body = "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n"))
+            texts += ["Copyright (c) 2001 Someone\nAll rights reserved.\n\n" + body, body.upper(), "  " + body + " x"]
+    texts += [f"{line}\n{licenses.MIT}" for line in ("copyright  notice", "Copyright: A", "\u00a9 B", "(C) Copyright C", "copyright holders", "copyright <x>", "copyright")]
+    texts += [f"text\n {n.upper()} \nmore\n{n}" for _, n in licenses.KNOWN if "\n" not in n]
+    texts += ["re licenced\norganisation's favour; non commercial non\ncommercial", "copyright owner\ncopyright\nowner sub\nlicense"]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    got = licenses.scan(
+        spark.createDataFrame(docs, "doc_id long, text string"), licenses.known_licences(spark), more=licenses.known_digests(spark)
+    )
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    sql = check_sql.license_scan(licenses.KNOWN, licenses.SPELLINGS, licenses.KNOWN_DIGESTS, licenses.PROSE)
+    want = con.execute(sql).fetchall()
+    columns = [d[0] for d in con.description]
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    found = {r["license_id"] for r in got.collect()}
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"} <= found
+
+
+TEXTS = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not TEXTS.exists(), reason="the published texts are not installed here")
+def test_known_digests_are_those_of_the_published_texts(spark):
+    rows = [(p.name, p.read_text(errors="replace")) for p in TEXTS.iterdir()]
+    df = spark.createDataFrame(rows, "name string, text string")
+    got = {r["d"] for r in df.select(licenses.whole_digest(licenses.canonical(F.col("text"))).alias("d")).collect()}
+    assert {d for _, d in licenses.KNOWN_DIGESTS} <= got

@@ -71,3 +71,15 @@ def test_components_of_a_path_and_a_star(spark):
 def test_hex(spark):
     row = spark.createDataFrame([(-1,), (5,)], "fp long").select(simhash.fingerprint_hex(F.col("fp"))).collect()
     assert [r[0] for r in row] == ["f" * 16, "0" * 15 + "5"]
+
+
+def test_rows_that_repeat_the_surviving_id_are_thinned(spark):
+    far = "quite another text " * 30
+    rows = [(3, "one text " * 40, 1), (3, "one text " * 40, 2), (5, "one text " * 40, 1), (None, far, 2), (None, far, 1), (3, far + "of the same id " * 20, 7), (None, "third " * 9, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root int")
+    got = simhash.drop_near_copies(docs)
+    prints = {t: simhash.fingerprint(t.encode()) for _, t, _ in rows}
+    assert all(bin(a ^ b).count("1") > 2 for a in prints.values() for b in prints.values() if a != b)
+    wanted = [(3, rows[0][1], 1), (None, far, 1), (3, rows[5][1], 7), (None, "third " * 9, 0)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(wanted, key=repr)
+    assert simhash.drop_near_copies(docs.union(docs)).count() == 4
