@@ -117,10 +117,12 @@ def tagged_events(
     logs: Mapping[str, DataFrame],
     internal_domain: str = fixed.INTERNAL_EMAIL_DOMAIN,
     without_machine: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Normalised logs as one frame: key, channel, time of day, counted flags and distinct-count item.
 
-    Events without a user go, and those without a machine too unless ``without_machine``.
+    Events without a user go, and those without a machine too unless ``without_machine``. Columns to
+    ``keep`` come along.
     """
     parts = []
     for channel, log in logs.items():
@@ -129,6 +131,7 @@ def tagged_events(
         parts.append(
             log.where(usable if without_machine else usable & F.col("pc").isNotNull()).select(
                 *KEYS,
+                *keep,
                 F.lit(channel).alias("channel"),
                 cleaning.micros_of_day(F.col("timestamp")).alias("at"),
                 item.alias("item"),
@@ -145,7 +148,8 @@ def slot_minutes(gap_minutes: int) -> int:
     return max(width for width in (1, 2, 3, 4, 5, 6, 10, 12, 15, 20, 30, 60) if width <= gap_minutes)
 
 
-def _counted(table: DataFrame) -> list[str]:
+def counted(table: DataFrame) -> list[str]:
+    """The counts of events that a table has."""
     return [name for spec in CHANNELS.values() for name in spec.counts if name in table.columns]
 
 
@@ -159,7 +163,7 @@ def time_slots(
         F.count(F.lit(1)).alias("n"),
         F.min("at").alias("first_at"),
         F.max("at").alias("last_at"),
-        *[F.sum(name).alias(name) for name in _counted(events)],
+        *[F.sum(name).alias(name) for name in counted(events)],
     ).withColumn("hour", F.floor(F.col("slot") * width / 60).cast("int"))
 
 
@@ -186,7 +190,7 @@ def slots_of(activity: DataFrame, keys: list[str] = KEYS) -> DataFrame:
             F.sum("n").alias("n"),
             F.min("first_at").alias("first_at"),
             F.max("last_at").alias("last_at"),
-            *[F.sum(name).alias(name) for name in _counted(activity)],
+            *[F.sum(name).alias(name) for name in counted(activity)],
         )
     )
 

@@ -9,7 +9,7 @@ from daywatch import fixed
 from daywatch.functions import cleaning
 from daywatch.operators import alerts, channels, explain, models, ranking, splits
 from daywatch.plans.catalog.channel_queries import SCHEDULE_DAYS, rounded
-from daywatch.plans.catalog.layer_queries import COUNTS, WINDOWS
+from daywatch.plans.catalog.layer_queries import COUNTS, WINDOWS, _channel_features
 from daywatch.plans.catalog.registry import query
 from daywatch.plans.catalog.risk_queries import cutoff_sql, r6
 from daywatch.plans.catalog.sql_views import view, with_views
@@ -328,26 +328,75 @@ def stream_daily_counts(spark, sf_dir):
 
 
 STREAM_DAYS = 5
+#: Files of a slice of days, which a trigger takes together.
+SLICE_FILES = 2
+
+
+def slice_of(ts, first, event_id):
+    """The slice of ``STREAM_DAYS`` days that an event comes with; in the last quarter day some come with the next."""
+    age = (F.unix_micros(ts.cast("timestamp")) - F.unix_micros(first.cast("timestamp"))) / 86_400_000_000
+    late = (F.pmod(age, F.lit(float(STREAM_DAYS))) > STREAM_DAYS - 0.25) & (event_id % 7 == 0)
+    return age, F.floor(age / STREAM_DAYS) + F.when(late, 1).otherwise(0)
+
+
+def write_slices(rows, path):
+    """Rows by ``part``, written in one job, ``SLICE_FILES`` files each, dated in the order of the parts."""
+    spark = rows.sparkSession
+    parts = rows.select("part").distinct().count()
+    rows = rows.withColumn("file", F.pmod(F.xxhash64(*rows.columns), F.lit(SLICE_FILES)))
+    # A number that is given isn't reduced: every part and file is one task's.
+    rows.repartition(max(1, parts * SLICE_FILES), "part", "file").write.partitionBy("part", "file").parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.globStatus(hadoop.Path(f"{path}/part=*/file=*/*.parquet"))
+    begun = min((f.getModificationTime() for f in files), default=0)
+    for f in files:  # a few a slice
+        part = int(f.getPath().getParent().getParent().getName().removeprefix("part="))
+        fs.setTimes(f.getPath(), begun - 10_000_000 + 1000 * min(part, 9000), -1)
 
 
 def write_event_files(events, path):
-    """A folder per ``STREAM_DAYS`` days, written in that order, and a last one with what is far too late."""
+    """Slices of ``STREAM_DAYS`` days in order, and a last one with what is far too late."""
     first = events.agg(F.min(F.to_date("ts")).cast("timestamp_ntz")).scalar()
-    age = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(first.cast("timestamp"))) / 86_400_000_000
-    # An event in the last quarter day of its file may come with the next.
-    late = (F.pmod(age, F.lit(float(STREAM_DAYS))) > STREAM_DAYS - 0.25) & (F.col("event_id") % 7 == 0)
-    part = F.floor(age / STREAM_DAYS) + F.when(late, 1).otherwise(0)
-    part = F.when((F.col("event_id") % 11 == 0) & (age < 1), 1_000_000).otherwise(part)
+    age, part = slice_of(F.col("ts"), first, F.col("event_id"))
+    part = F.when((F.col("event_id") % 11 == 0) & (age < 1), 9000).otherwise(part)
     rows = events.select(
-        F.expr("concat('u', user_id)").alias("user"), F.col("ts").cast("timestamp").alias("ts"), "event_type", part.cast("int").alias("part")
+        F.expr("concat('u', user_id)").alias("user"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id", part.cast("int").alias("part")
     )
-    rows = sinks.stored(events.sparkSession, rows, "parts")
-    for k in sorted(r["part"] for r in rows.select("part").distinct().collect()):  # a few folders
-        rows.where(F.col("part") == k).drop("part").repartition(1).write.parquet(f"{path}/part-{k:07d}")
+    write_slices(rows, path)
 
 
 def stream_event_files(spark, path, out):
     schema = "user string, ts timestamp, event_type string"
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part-*")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(f"{path}/part=*/file=*")
     counts = event_stream.daily_counts(source, {"files": "event_type = 'click'", "visits": "event_type = 'view'"})
     return event_stream.write_updates(counts, out, scratch_path(spark, "stream"))
+
+
+def stream_logs(spark, sf_dir, path):
+    """The sample logs as streams of slices, with timestamps as a watermark wants them."""
+    streams = {}
+    for name, log in sv.activity_logs(spark, sf_dir).items():
+        first = sv.table(spark, sf_dir, "events").agg(F.min(F.to_date("ts")).cast("timestamp_ntz")).scalar()
+        _, part = slice_of(F.col("timestamp"), first, F.col("event_id"))
+        rows = log.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withColumn("part", part.cast("int"))
+        write_slices(rows, f"{path}/{name}")
+        source = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", SLICE_FILES)
+        streams[name] = source.parquet(f"{path}/{name}/part=*/file=*")
+    return streams
+
+
+@query(
+    "stream_machine_days",
+    with_views(f"""SELECT "user", pc, day, {', '.join(_channel_features)} FROM aligned"""),
+)
+def stream_machine_days(spark, sf_dir):
+    """All features of the five channels, kept from streams of the logs with late rows: the batch table's."""
+    schedules = channels.work_schedules(sv.activity_log(spark, sf_dir, "logon"), SCHEDULE_DAYS)
+    schedules = sinks.stored(spark, schedules, "schedules")
+    out = scratch_path(spark, "machine_days")
+    activity = event_stream.streamed_activity(stream_logs(spark, sf_dir, scratch_path(spark, "logs")))
+    event_stream.keep_days(activity, out, scratch_path(spark, "stream"), schedules).awaitTermination()
+    days = event_stream.current_days(spark, out)
+    return days.select("user", "pc", "day", *[F.col(c).cast("int").alias(c) for c in _channel_features])

@@ -26,6 +26,8 @@ def get_session(app: str = "daywatch", master: str | None = None, **conf: str) -
         # Recording the Python call site of every column expression slows wide plans.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.pythonUDF.arrow.enabled", "true")
+        # A task and its worker keep a batch several times over.
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     )
     if master:
         builder = builder.master(master)

@@ -42,3 +42,38 @@ def test_the_end_is_marked_beside_the_batches(spark):
     found = spark.read.json(out)
     assert dict(found.dtypes)["batch"] == "int" and found.count() == 40
     assert {r["if_percentile_rank"] for r in found.collect()} == {round(i / 40 * 100, 2) for i in range(40)}
+
+
+def test_streamed_machine_days_without_the_rows_that_come_too_late(spark, tmp_path):
+    """Features of a stream equal those of a batch over the rows that were in time; the others are counted."""
+    from datetime import datetime, timedelta
+
+    from daywatch.operators import channels as ch
+
+    start = datetime(2024, 1, 1)
+    schema = "user string, pc string, timestamp timestamp, activity string, filename string, day date"
+
+    def rows(days, minute):
+        out = []
+        for d in days:
+            for m in minute:
+                at = start + timedelta(days=d, minutes=m)
+                out.append((f"u{m % 3}", f"p{m % 2}" if m % 5 else None, at, "File Copy" if m % 2 else "File Open", f"f{m % 7}", at.date()))
+        return out
+
+    slices = [rows([0, 1], range(0, 1440, 41)), rows([2, 3], range(3, 1440, 37)) + rows([1], [1437, 1438]), rows([4], range(0, 700, 23)) + rows([3], [5, 11])]
+    too_late = rows([0], [100, 101, 102])
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    for i, part in enumerate([*slices, too_late]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{path}/s{i}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/s*")
+    schedules = spark.createDataFrame([("u0", 6, 14, True), ("u1", 9, 17, False)], "user string, start_hour int, end_hour int, schedule_complete boolean")
+    query = event_stream.keep_days(event_stream.streamed_activity({"file": source}), out, str(tmp_path / "c"), schedules)
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 4
+    assert event_stream.dropped_rows(query) == 3  # a slot, an item and a row each
+    log = spark.createDataFrame([r for s in slices for r in s], schema)
+    want = ch.channel_daily({"file": log}, schedules=schedules)
+    got = event_stream.current_days(spark, out).select(want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert got.where("off_hours_files_accessed > 0 AND unique_files_accessed > 1").count() > 0
