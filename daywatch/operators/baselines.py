@@ -26,35 +26,81 @@ class BaselineWindows:
     long_sum: int = 30
 
 
+WHOLE_TYPES = ("byte", "short", "integer", "long")
+
+
 def with_history(
     df: DataFrame, features: list[str], windows: BaselineWindows = BaselineWindows()
 ) -> DataFrame:
     """Adds what the causal statistics are computed from, as arrays with one element per feature.
 
-    Each statistic is aggregated over its own bounded frame of the rows before, all on one
-    sort by (user, day), so a large value counts only as long as it is in the frame and a
-    constant series has a deviation of exactly zero. A user has one row per day, which
-    bounds each window partition by the calendar. Nulls count as absent.
+    Everything is on one sort by (user, day). Of whole numbers, totals of values, squares and counts
+    run along exactly, as decimals, and a window is the difference of two totals: a row costs the same
+    for 5 or 90 rows of history, and a large value leaves nothing behind when it leaves the window.
+    They may have fifteen digits; sums of more are refused as an overflow. Fractions are aggregated over
+    bounded frames, so that a constant series has a deviation of exactly zero. A user has one row per
+    day, which bounds each window partition by the calendar. Nulls count as absent.
     """
+    whole = [f for f in features if df.schema[f].dataType.typeName() in WHOLE_TYPES]
     order = Window.partitionBy("user").orderBy("day")
-    value = [f"CAST(`{f}` AS DOUBLE)" for f in features]
-
-    def past(how: str, depth: int) -> Column:
+    statistics = [
+        ("_delta_mean", "mean", windows.delta),
+        ("_short_sum", "sum", windows.short_sum),
+        ("_long_sum", "sum", windows.long_sum),
+        *[(f"_{n}_{part}", part, d) for n, d in (("z", windows.z), ("z90", windows.z_long)) for part in ("n", "mean", "sd")],
+    ]
+    columns: list[Column | str] = ["*", (F.row_number().over(order) - 1).alias("_prior")]
+    if whole:
+        columns += _totals(whole)
+    in_frames = {"sum": "sum", "mean": "avg", "n": "count", "sd": "stddev_samp"}
+    frames = [f for f in features if f not in whole]
+    for name, part, depth in statistics if frames else []:
         over = f"OVER (PARTITION BY `user` ORDER BY day ROWS BETWEEN {depth} PRECEDING AND 1 PRECEDING)"
-        return F.expr(f"array({', '.join(f'{how}({x}) {over}' for x in value)})")
-
-    return df.select(
-        "*",
-        (F.row_number().over(order) - 1).alias("_prior"),
-        past("avg", windows.delta).alias("_delta_mean"),
-        past("sum", windows.short_sum).alias("_short_sum"),
-        past("sum", windows.long_sum).alias("_long_sum"),
-        *[
-            past(how, depth).alias(f"_{name}_{part}")
-            for name, depth in (("z", windows.z), ("z90", windows.z_long))
-            for part, how in (("n", "count"), ("mean", "avg"), ("sd", "stddev_samp"))
-        ],
-    )
+        values = ", ".join(f"{in_frames[part]}(CAST(`{f}` AS DOUBLE)) {over}" for f in frames)
+        columns.append(F.expr(f"array({values})").alias(f"_f{name}"))
+    rows = df.select(*columns)
+    if whole:
+        depths = sorted({depth for _, _, depth in statistics})
+        before = [F.lag(c, d).over(order).alias(f"{c}{d}") for d in depths for c in ("_total", "_square", "_count")]
+        rows = rows.select("*", *before)
+        rows = rows.select("*", *[_windowed(part, d, len(whole)).alias(f"_w{name}") for name, part, d in statistics])
+    if not frames or not whole:
+        kept = "_w" if whole else "_f"
+        return rows.select(*df.columns, "_prior", *[F.col(f"{kept}{name}").alias(name) for name, _, _ in statistics])
+    place = [f"_w%s[{whole.index(f)}]" if f in whole else f"_f%s[{frames.index(f)}]" for f in features]
+    merged = [F.expr(f"array({', '.join(p % name for p in place)})").alias(name) for name, _, _ in statistics]
+    return rows.select(*df.columns, "_prior", *merged)
+
+
+def _totals(features: list[str]) -> list[Column]:
+    """Exact running totals of the rows before, one element per feature."""
+    over = "OVER (PARTITION BY `user` ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    exact = [f"CAST(`{f}` AS DECIMAL(19,0))" for f in features]
+
+    def totals(parts: list[str], none: str) -> Column:
+        return F.expr(f"array({', '.join(f'coalesce({p} {over}, {none})' for p in parts)})")
+
+    return [
+        totals([f"sum({x})" for x in exact], "CAST(0 AS DECIMAL(29,0))").alias("_total"),
+        totals([f"sum({x} * {x})" for x in exact], "CAST(0 AS DECIMAL(38,0))").alias("_square"),
+        totals([f"count({x})" for x in exact], "0L").alias("_count"),
+    ]
+
+
+def _windowed(part: str, depth: int, size: int) -> Column:
+    """A statistic of the last ``depth`` rows before, from running totals and those as many rows ago."""
+    n = f"(_count[i] - coalesce(_count{depth}[i], 0L))"
+    total = f"(_total[i] - coalesce(_total{depth}[i], 0))"
+    square = f"(_square[i] - coalesce(_square{depth}[i], 0))"
+    exact = f"CAST({n} AS DECIMAL(5,0))"
+    spread = f"CAST({exact} * CAST({square} AS DECIMAL(33,0)) - CAST({total} AS DECIMAL(19,0)) * CAST({total} AS DECIMAL(19,0)) AS DOUBLE)"
+    value = {
+        "n": n,
+        "sum": f"CASE WHEN {n} > 0 THEN CAST({total} AS DOUBLE) END",
+        "mean": f"CASE WHEN {n} > 0 THEN CAST({total} AS DOUBLE) / {n} END",
+        "sd": f"CASE WHEN {n} > 1 THEN sqrt({spread} / (CAST({n} AS DOUBLE) * ({n} - 1))) END",
+    }[part]
+    return F.expr(f"transform(sequence(0, {size - 1}), i -> {value})")
 
 
 def statistic_columns(features: list[str], windows: BaselineWindows = BaselineWindows()) -> list[str]:
@@ -176,7 +222,7 @@ def with_peer_scores(
     whether the others differ at all is told from counts of the extremes, without rounding. A
     member whose others are all equal, or fewer than two, scores zero.
     """
-    whole = [f for f in features if df.schema[f].dataType.typeName() in ("byte", "short", "integer", "long")]
+    whole = [f for f in features if df.schema[f].dataType.typeName() in WHOLE_TYPES]
     doubles = [f for f in features if f not in whole]
     group = peers.select("user", F.col(peer_col).alias("_peer"))
     member = df.join(group, "user", "left").withColumn("_peer", F.coalesce("_peer", F.lit("Unknown")))
