@@ -1,9 +1,11 @@
 """Substring dedup: relative Lempel-Ziv parsing of documents against indexed reference blocks.
 
 A factor is a run of words that a document shares with an earlier document (one with a
-smaller id), at least ``window`` words long. The parse is greedy: a factor goes on while the
-next window continues it in the same reference, and the windows across a factor's end are
-looked up on their own, so no shared window is lost at a boundary.
+smaller id), at least ``window`` words long. The parse goes from left to right: a factor goes on
+while the next window continues it in the same reference, the first document that has the
+window, and ends where that document does not have the next one. The windows across a
+factor's end are looked up on their own, so no shared window is lost at a boundary. A factor is
+therefore the longest in its reference, but another reference may have had a longer one.
 
 The reference is the whole corpus, indexed in blocks by hash; every block is bounded, and
 documents come in chunks of about ``CHUNK_BYTES`` of text:
@@ -210,7 +212,7 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     removed, judged on the input. ``factors`` has the runs with the reference they follow (start
     and length in words; runs may overlap). ``kept_text`` has the other words, joined by spaces.
 
-    A null text has no words. A null id counts as larger than any other and is no one's
+    A null text has no words; texts of any length are parsed whole. A null id counts as larger than any other and is no one's
     reference; rows with equal ids are no references of each other. Documents shorter than a
     window keep all words. Empty tables give empty results. If ``parsed`` is taken, the
     struct's name gets an underscore before it.
