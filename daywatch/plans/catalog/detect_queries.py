@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from daywatch.operators import alerts, models, ranking, splits
+from daywatch.functions import cleaning
+from daywatch.operators import alerts, models, ranking, serving, splits
 from daywatch.plans.catalog.channel_queries import rounded
 from daywatch.plans.catalog.layer_queries import COUNTS
 from daywatch.plans.catalog.registry import query
@@ -249,3 +250,26 @@ def written_by_user(spark, sf_dir):
     """One user's rows of a table in the layout of user reads."""
     path = sinks.write_by_user(sv.user_days(spark, sf_dir).select("user", "day", "n", "cents"), scratch_path(spark, "by_user"), 4)
     return logs.read_user_detail(spark.read.parquet(path), "u3", ["user", "day", "n"])
+
+
+@query(
+    "exported_csv",
+    with_views(f"""SELECT "user", day, n, {r6('CAST(cents AS DOUBLE) / 100')} AS amount FROM user_day"""),
+)
+def exported_csv(spark, sf_dir):
+    """Rows exported as text and read back."""
+    path = scratch_path(spark, "export")
+    rows = sv.user_days(spark, sf_dir).select("user", "day", "n", (F.col("cents") / 100).alias("amount"))
+    serving.export_csv(rows, path)
+    return rounded(spark.read.schema("user string, day date, n bigint, amount double").option("header", True).csv(path))
+
+
+@query(
+    "feature_matrix",
+    with_views(f"""SELECT {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in COUNTS)}, CAST(sum(n) AS BIGINT) AS n FROM user_day"""),
+)
+def feature_matrix(spark, sf_dir):
+    """Sums of the columns that a model takes from a table with keys and names beside them."""
+    rows = sv.user_days(spark, sf_dir).withColumn("employee_name", F.col("user"))
+    features = cleaning.feature_columns(rows, ["user", "day", "employee_name", "cents"])
+    return rows.agg(*[F.sum(f).alias(f) for f in features])

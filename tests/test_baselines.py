@@ -96,22 +96,25 @@ def test_peer_scores_at_any_level(spark):
             assert got[f"{g}{i}"]["x_peer_zscore"] == pytest.approx(want, abs=1e-6)
 
 
-def exact_z(values, i):
-    """Leave-one-out score in fractions; 0 where the others are equal."""
-    others = [Fraction(v) for j, v in enumerate(values) if j != i and v is not None]
-    if values[i] is None or len(others) < 2:
-        return 0.0
-    mean = sum(others) / len(others)
-    spread = sum((v - mean) ** 2 for v in others) / (len(others) - 1)
-    if not spread:
-        return 0.0
-    return float(np.clip(float(Fraction(values[i]) - mean) / float(spread) ** 0.5, -10, 10))
+def exact_z(values):
+    """Leave-one-out scores in fractions; 0 where the others are equal."""
+    known = [Fraction(v) for v in values if v is not None]
+    total, squares, n = sum(known), sum(v * v for v in known), len(known) - 1
+    out = []
+    for v in values:
+        if v is None or n < 2:
+            out.append(0.0)
+            continue
+        x = Fraction(v)
+        mean, spread = (total - x) / n, (squares - x * x - (total - x) ** 2 / n) / (n - 1)
+        out.append(float(np.clip(float(x - mean) / float(spread) ** 0.5, -10, 10)) if spread else 0.0)
+    return out
 
 
 def peer_groups(rng):
     """Groups of doubles on many levels; in most of them some member's others are all equal."""
     for level in (1e2, 1e3, 1e5, 1e7, 1e9, 1e11):
-        for size in (3, 5, 7, 30, 300):
+        for size in (3, 5, 7, 30, 300) if level in (1e2, 1e11) else (3, 7, 30):
             yield [level] * size
             yield [level] * (size - 1) + [level + 0.7]
             yield [level + 0.7] + [level] * (size - 1)
@@ -133,8 +136,7 @@ def test_peer_scores_of_doubles_are_right_at_every_level(spark):
     df = spark.createDataFrame(rows, "user string, day date, x double").repartition(7)
     got = {r["user"]: r["x_peer_zscore"] for r in bl.peer_zscores(df, ["x"], peers).collect()}
     for g, vs in groups.items():
-        for i in range(len(vs)):
-            want = exact_z(vs, i)
+        for i, want in enumerate(exact_z(vs)):
             if want == 0:
                 assert abs(got[f"{g}-{i}"]) < 1e-9, (vs[:3], len(vs), i)
             else:
@@ -154,7 +156,7 @@ def test_peer_scores_do_not_depend_on_the_order_of_rows(spark):
     df = spark.createDataFrame(rows, "user string, day date, x double")
     got = bl.peer_zscores(df.repartition(13), ["x"], peers).toPandas()
     for user, scores in got.groupby("user").x_peer_zscore:
-        want = exact_z(values if user[0] == "a" else other, int(user[1:]))
+        want = exact_z(values if user[0] == "a" else other)[int(user[1:])]
         assert len(scores) == 100 and np.abs(scores - want).max() < 1e-9
 
 
