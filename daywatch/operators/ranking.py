@@ -152,10 +152,7 @@ def merge_indexes(indexes: list[RankIndex], root: str | None = None) -> RankInde
 def _index_of(counts: DataFrame, root: str | None) -> RankIndex:
     spark = counts.sparkSession
     scanned = prefix_scan(counts.withColumn("_one", F.lit(1)), ["score"], ["n", "_one"])
-    per_page = max(PAGE_ENTRIES, -(-counts.count() // PAGES))
-    entries = scanned.select(
-        "score", "n", F.col("n_before").alias("below"), F.expr(f"CAST(_one_before div {per_page} AS INT)").alias("page")
-    )
+    entries = scanned.select("score", "n", F.col("n_before").alias("below"), F.col("_one_before").alias("at"))
     if root is None:
         return _index(stored(spark, entries, "ranks"))
     return load_index(spark, root, versions.replace(entries, root))
@@ -167,8 +164,10 @@ def load_index(spark: SparkSession, root: str, version: versions.Version | None
 
 
 def _index(entries: DataFrame) -> RankIndex:
-    row = entries.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    return RankIndex(entries, row[0], row[1])
+    size, distinct = entries.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    per_page = max(PAGE_ENTRIES, -(-distinct // PAGES))
+    page = F.expr(f"CAST(at div {per_page} AS INT)").alias("page")
+    return RankIndex(entries.select("score", "n", "below", page), size, distinct)
 
 
 def percentiles(
