@@ -143,6 +143,30 @@ def test_peer_scores_of_doubles_are_right_at_every_level(spark):
                 assert got[f"{g}-{i}"] == pytest.approx(want, rel=1e-6, abs=1e-9), (vs[:3], len(vs), i)
 
 
+def test_whole_numbers_of_seventeen_digits_over_more_rows_than_a_batch(spark):
+    rng = np.random.default_rng(3)
+    level = 10**17
+    values = [level + int(v) for v in rng.integers(-8, 9, 40)] + [int(v) for v in rng.integers(0, 9, 2400)]
+    values[700] = None
+    rows = [("u", DAY + timedelta(days=i), v) for i, v in enumerate(values)] + [("v", DAY + timedelta(days=i), i % 3) for i in range(60)]
+    rows += [(None, DAY + timedelta(days=i), 1) for i in range(3)]
+    df = spark.createDataFrame(rows, "user string, day date, n long")
+    got = bl.user_baselines(df, ["n"]).toPandas().sort_values(["user", "day"])
+    own = got[got.user == "u"].reset_index(drop=True)
+    # Scores are differences of doubles, which hold fifteen digits; the large values must leave none behind.
+    want = [past_z(values, i, 30, 14) for i in range(70, len(values))]
+    np.testing.assert_allclose(own.n_zscore[70:], want, atol=1e-6)
+    assert list(own.baseline_complete) == [i >= 14 for i in range(len(values))]
+    assert own["n_7d_sum"][40] == float(sum(values[33:40])) and own["n_30d_sum"][2200] == sum(values[2170:2200])
+    other = got[got.user == "v"].reset_index(drop=True)
+    assert other["n_7d_sum"][8] == sum(i % 3 for i in range(1, 8)) and not other.baseline_complete[13] and other.baseline_complete[14]
+    nobody = spark.createDataFrame([], "user string, role string")
+    members = {"u": values[0], "v": 0, None: 1, "w": level - 4, "x": level + 4, "y": None}
+    rows = [(u, DAY, v) for u, v in members.items()]
+    scored = {r["user"]: r["n_peer_zscore"] for r in bl.peer_zscores(spark.createDataFrame(rows, df.schema), ["n"], nobody).collect()}
+    assert scored == pytest.approx(dict(zip(members, exact_z(members.values()))), rel=1e-9)
+
+
 def test_peer_scores_do_not_depend_on_the_order_of_rows(spark):
     rng = np.random.default_rng(5)
     values = [1e7 + 0.7] + [1e7] * 6
