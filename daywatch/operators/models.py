@@ -431,9 +431,11 @@ def score_rows(df: DataFrame, model: DetectionModel, keep: list[str]) -> DataFra
         raise ValueError(f"rows lack model features: {missing}")
     out = df.select(*keep, scaled(model.scaler).alias("_scaled"))
     out = out.withColumn("embedding", model.reconstruction.embed(F.col("_scaled")))
-    rebuilt = model.reconstruction.rebuild(F.col("embedding"))
-    out = out.withColumn("_errors", explain.feature_errors(F.col("_scaled"), rebuilt))
-    out = out.withColumn("total_reconstruction_error", explain.total_error(F.col("_errors")))
+    out = out.withColumn("_rebuilt", model.reconstruction.rebuild(F.col("embedding")))
+    # Exploded from arrays of one, errors and total are worked out once a row; as plain columns they would be
+    # put in wherever they are used, the total once a feature.
+    out = out.withColumn("_errors", F.explode(F.array(explain.feature_errors(F.col("_scaled"), F.col("_rebuilt")))))
+    out = out.withColumn("total_reconstruction_error", F.explode(F.array(explain.total_error(F.col("_errors")))))
     shares = explain.contribution_ratios(F.col("_errors"), F.col("total_reconstruction_error"))
     groups = explain.group_errors("_errors", features)
     return out.select(

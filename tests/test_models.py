@@ -151,3 +151,20 @@ def test_days_added_one_by_one_give_the_model_of_all_rows(spark):
     bad = df.withColumn("f0", F.when(F.col("user") != "u3", F.col("f0")))
     with pytest.raises(Exception, match="non-finite"):
         models.moments(bad, features, ["day"]).collect()
+
+
+def test_errors_of_a_row_are_worked_out_once(spark):
+    """Put in wherever they are used, errors and total cost the square of the features a row."""
+    import pandas as pd
+
+    features = ["a", "b", "c"]
+    leaf = pd.DataFrame([[0, 0, -1, -1, -1, 0.0, 1.0]], columns=["tree", "node", "left", "right", "feature", "threshold", "path"])
+    scaler = models.Scaler(features, [0.0] * 3, [1.0] * 3)
+    model = models.DetectionModel(scaler, models.Components(np.eye(3)[:, :2]), models.Forest(leaf, 1))
+    rows = spark.range(1, 4).selectExpr("id AS user", "id AS a", "2 * id AS b", "3 * id AS c")
+    scored = models.score_rows(rows, model, ["user"])
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.count("zip_with(") == 1
+    for r in scored.collect():
+        assert r["total_reconstruction_error"] == 9.0 * r["user"] ** 2
+        assert r["contributions"] == {"a": 0.0, "b": 0.0, "c": 1.0}
