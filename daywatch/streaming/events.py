@@ -116,9 +116,14 @@ def keep_days(
         if changed.isEmpty():  # a batch that only moves the watermark on
             return
         touched = changed.select(*ch.KEYS).distinct()
-        known = current_activity(spark, out_path, batch_id)
-        days = touched.select("day").distinct()
-        rows = known.join(days, "day", "left_semi").join(touched, ch.KEYS, "left_semi")
+        # Rows of this batch are the newest there are; only days that came before have others beside them.
+        rows = changed.where("user IS NOT NULL AND day IS NOT NULL").drop("batch_id")
+        if batch_id and (earlier := _earlier(spark, out_path, batch_id)) is not None:
+            days = touched.select("day").distinct()
+            before = earlier.join(days, "day", "left_semi").join(touched, ch.KEYS, "left_semi")
+            own = rows.select(*[F.col(c).alias(f"_{c}") for c in ACTIVITY_KEYS])
+            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ACTIVITY_KEYS]
+            rows = rows.unionByName(before.join(own, same, "left_anti").select(rows.columns))
         daily = ch.daily_from_activity(
             stored(spark, rows, "touched"), channels, ch.KEYS, schedules, default_hours, gap_minutes
         )
@@ -139,6 +144,16 @@ def _newest(updates: DataFrame, keys: list[str]) -> DataFrame:
     return updates.groupBy(*keys).agg(newest).select(*keys, *[f"v.{c}" for c in values])
 
 
+def _earlier(spark: SparkSession, out_path: str, batch_id: int) -> DataFrame | None:
+    """The newest version, before a batch, of every row of the streamed activity table; None before the first rows."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(f"{out_path}/activity/batch=*/day=*")
+    folders = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    if not any(int(f.getPath().getParent().getName().removeprefix("batch=")) < batch_id for f in folders):
+        return None
+    return current_activity(spark, out_path, batch_id - 1)
+
+
 def current_activity(spark: SparkSession, out_path: str, upto: int | None = None) -> DataFrame:
     """The newest version of every row of the streamed activity table, after a batch if given."""
     updates = spark.read.option("basePath", f"{out_path}/activity").parquet(f"{out_path}/activity/batch=*")

@@ -77,3 +77,17 @@ def test_streamed_machine_days_without_the_rows_that_come_too_late(spark, tmp_pa
     got = event_stream.current_days(spark, out).select(want.columns)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     assert got.where("off_hours_files_accessed > 0 AND unique_files_accessed > 1").count() > 0
+
+
+def test_a_batch_reads_earlier_batches_only(spark, tmp_path):
+    """The rows a batch has just written are the newest as they are; beside them are only those of batches before."""
+    from datetime import date
+
+    out = str(tmp_path / "out")
+    row = {"user": "u", "pc": "p", "channel": "file", "slot": 1, "hour": 0, "first_at": 1, "last_at": 2}
+    schema = "user string, pc string, channel string, slot int, item string, hour int, first_at long, last_at long, n long, batch_id long, day date"
+    for batch, items in enumerate([["a", None], ["a"], ["b"]]):
+        rows = [{**row, "item": i, "n": batch + 1, "batch_id": batch, "day": date(2024, 1, 1)} for i in items]
+        spark.createDataFrame(rows, schema).write.partitionBy("day").parquet(f"{out}/activity/batch={batch}")
+    assert event_stream._earlier(spark, out, 0) is None
+    assert sorted((str(r["item"]), r["n"]) for r in event_stream._earlier(spark, out, 2).collect()) == [("None", 1), ("a", 2)]
